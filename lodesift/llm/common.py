@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,12 +87,31 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow by a function of one batch; empty batches are passed over."""
+#: Of a batch that a step sees at once.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about so many bytes each, one row at least."""
+    if batch.nbytes <= most:
+        yield batch
+        return
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            sizes += np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(lo, hi - lo)
+
+
+def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: object) -> DataFrame:
+    """mapInArrow by a function of one batch; batches come in parts of bounded size, empty ones are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield out
+        for whole in batches:
+            for batch in slices(whole):
+                if batch.num_rows and (out := step(batch)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
