@@ -39,8 +39,9 @@ CHUNK = 1 << 21
 RUNS = 1 << 17
 #: Strings in a batch of a bucket.
 BATCH = 1 << 16
-#: Groups and buckets for each shuffle partition.
-PER_PARTITION = 4
+#: Groups for each shuffle partition. There is one bucket for each, so that what a group tells a bucket is a row
+#: with many values rather than few.
+PER_PARTITION = 2
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -225,7 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated rows stay repeated (all but the first lose what is long enough); an empty table gives no rows."""
     spark = docs.sparkSession
     n = partitions(spark)
-    groups = buckets = PER_PARTITION * n
+    groups, buckets = PER_PARTITION * n, n
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     own = F.pmod(F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(groups))
     dealt = chosen.withColumn("g", own).repartition(n, "g")
