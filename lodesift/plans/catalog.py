@@ -1,15 +1,230 @@
-"""The queries over the driver's tables, and their SQL."""
+"""The queries over the driver's tables, and their SQL.
+
+The tables hold few credentials of named providers, so each document is scanned together with lines planted after it,
+whose values are derived from its id; what its own text holds is found alike."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodesift.functions import columns
+from lodesift.functions.globs import covers, ignore_column, parse_ignore
+from lodesift.operators import findings, paths, verification
+from lodesift.operators.registry import BUILT_IN
+from lodesift.operators.scan import ScanOptions, scan
+from lodesift.sinks import reports
+from lodesift.sources.files import texts
+
+#: What is planted: the start of a value, and how many hex digits follow it.
+PLANTED = {
+    "anthropic-api-key": ("sk-ant-", 90),
+    "digitalocean-token": ("dop_v1_", 64),
+    "github-token": ("ghp_", 36),
+    "gitlab-pat": ("glpat-", 20),
+    "huggingface-token": ("hf_", 34),
+    "linear-api-key": ("lin_api_", 40),
+    "npm-token": ("npm_", 36),
+    "rubygems-api-key": ("rubygems_", 48),
+    "sonarcloud-token": ("sqp_", 40),
+    "stripe-api-key-live": ("sk_live_", 24),
+}
+#: What redaction shows before the mask.
+SHOWN = {"digitalocean-token": "dop_v1_", "gitlab-pat": "glpat-", "huggingface-token": "hf_", "linear-api-key": "lin_api_", "npm-token": "npm_", "rubygems-api-key": "rubygems_", "sonarcloud-token": "sqp_", "stripe-api-key-live": "sk_live_"}
+IGNORE = "# generated\nes/**\n!es/1*\n**/*.tmp\nde/\n"
+GLOBS = ("*.example.org", "en/[0-4]*", "fr/?")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def planted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a line for each planted value; the first of them comes twice."""
+    digits = F.concat(*[F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(salt))) for salt in "abc"])
+    value = lambda start, n: F.concat(F.lit(start), F.substring(digits, 1, n))
+    lines = [value(*p) for p in PLANTED.values()]
+    docs = _documents(spark, sf_dir).withColumn("data", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.concat_ws("\n", *lines, lines[0]), F.lit("\n")))
+    return texts(docs, F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")), "data").drop("text")
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_CHUNKS = (
+    "chunks AS (SELECT doc_id, 'docs/' || doc_id || '.txt' AS file_path, coalesce(text, '') || chr(10) || "
+    + " || chr(10) || ".join(f"'{start}' || substr(digits, 1, {n})" for start, n in [*PLANTED.values(), next(iter(PLANTED.values()))])
+    + " || chr(10) AS data FROM (SELECT doc_id, text, md5(doc_id || 'a') || md5(doc_id || 'b') || md5(doc_id || 'c') AS digits FROM documents))"
+)
 
-ORACLE_SQL: dict[str, str] = {}
+
+def _found_sql(id: str) -> str:
+    detector = BUILT_IN[id]
+    pattern = detector.pattern.replace("'", "''")
+    return f"""SELECT doc_id, file_path, '{id}' AS detector_id, '{detector.severity}' AS severity, hits[k] AS raw, '{SHOWN.get(id, "")}****' || right(hits[k], 4) AS redacted,
+  coalesce(list_sum(list_transform(gaps[1:k], lambda x: strlen(x))), 0)::BIGINT + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: strlen(x))), 0)::BIGINT AS byte_start,
+  (1 + length(array_to_string(gaps[1:k], '')) - length(replace(array_to_string(gaps[1:k], ''), chr(10), '')))::INTEGER AS line
+FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM (SELECT doc_id, file_path, regexp_extract_all(data, '{pattern}') AS hits, string_split_regex(data, '{pattern}') AS gaps FROM chunks))"""
+
+
+_FOUND = f"""WITH {_CHUNKS}, raws AS ({" UNION ALL ".join(map(_found_sql, PLANTED))}),
+found AS (SELECT *, byte_start + strlen(raw) AS byte_end, substr(sha256(detector_id || redacted || file_path || line || ':' || byte_start), 1, 32) AS id FROM raws)
+"""
+
+
+def planted_findings(spark: SparkSession, sf_dir: str, keep_raw: bool = False) -> DataFrame:
+    return scan(planted_chunks(spark, sf_dir), ScanOptions(only=tuple(PLANTED)), keep=("doc_id",), keep_raw=keep_raw)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """All detectors over all planted chunks."""
+    return scan(planted_chunks(spark, sf_dir), keep=("doc_id",)).drop("extra")
+
+
+def scan_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planted_findings(spark, sf_dir).select("doc_id", "file_path", "detector_id", "severity", "redacted", "line", "byte_start", "byte_end", "id")
+
+
+def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.severity_counts(planted_findings(spark, sf_dir))
+
+
+def severity_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.at_least(planted_findings(spark, sf_dir), "critical").groupBy("detector_id").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def findings_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.ordered(planted_findings(spark, sf_dir)).select("file_path", "line", "detector_id", "redacted", "id")
+
+
+def sarif_rule_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.rule_index(planted_findings(spark, sf_dir))
+
+
+def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.sarif_results(planted_findings(spark, sf_dir)).select("rule_id", "level", "message", "fingerprint", "uri", "start_line")
+
+
+def github_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.annotations(planted_findings(spark, sf_dir))
+
+
+def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.csv_rows(planted_findings(spark, sf_dir)).select("id", "detector_id", "severity", "redacted", "file_path", "line", "verification_status")
+
+
+def verification_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many findings there are of each detector, and how many values a verification would send."""
+    keyed = planted_findings(spark, sf_dir, keep_raw=True).select("detector_id", F.sha2("raw", 256).alias("value"))
+    counted = keyed.groupBy("detector_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("detector_id").agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("distinct_values"))
+
+
+def finding_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.with_capability(planted_findings(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def capability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.capabilities(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("detectors"))
+
+
+def http_status_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = spark.createDataFrame([(c,) for c in (200, 301, 400, 401, 403, 404, 405, 429, 500)], "code int")
+    pairs = verification.capabilities(spark).select("detector_id").join(F.broadcast(codes), F.lit(True))
+    return pairs.withColumn("status", verification.status_of_answer(F.col("detector_id"), F.col("code"))).groupBy("code", "status").agg(F.count(F.lit(1)).alias("detectors"))
+
+
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def prefilter_selectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many planted chunks each detector with keywords would look at, in one pass that stays in the JVM."""
+    low = planted_chunks(spark, sf_dir).select(_lower(F.col("data").cast("string")).alias("low"))
+    words = {d.id: d.keywords for d in BUILT_IN.values() if d.keywords}
+
+    def any_of(ws: tuple[str, ...]) -> Column:
+        hit = F.lit(False)
+        for w in ws:
+            hit = hit | F.col("low").contains(w.lower())
+        return hit
+
+    counted = low.agg(*[F.count_if(any_of(ws)).alias(id) for id, ws in words.items()])
+    return counted.unpivot([], list(words), "detector_id", "admitted").where("admitted > 0")
+
+
+def _prefilter_sql() -> str:
+    one = lambda d: " OR ".join("contains(low, '" + w.lower().replace("'", "''") + "')" for w in d.keywords)
+    parts = [f"SELECT '{d.id}' AS detector_id, count(*) FILTER ({one(d)}) AS admitted FROM d" for d in BUILT_IN.values() if d.keywords]
+    return f"WITH {_CHUNKS}, d AS (SELECT translate(data, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM chunks) SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE admitted > 0"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_extract("url", r"^https?://[^/]+/([^?]*)", 1)
+    host = F.regexp_extract("url", r"^https?://([^/]+)", 1)
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", path.alias("path"), host.alias("host"))
+
+
+def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", covers(F.col("host"), GLOBS[:1]).alias("by_host"), covers(F.col("path"), GLOBS[1:]).alias("by_path"))
+
+
+def ignore_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", ignore_column(F.col("path"), parse_ignore(IGNORE)).alias("ignored"))
+
+
+def skip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of the pages' paths: lock files, binary extensions in either case, and others."""
+    names = F.element_at(F.array(*map(F.lit, ("go.sum", "a/yarn.lock", "b.PNG", "c.tar.gz", "d.py", "e", "f.lock"))), (F.col("page_id") % 7 + 1).cast("int"))
+    path = F.concat("path", F.lit("/"), names)
+    return _pages(spark, sf_dir).select("page_id", path.alias("path"), paths.skipped(path).alias("skipped"))
+
+
+def url_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", F.round(columns.entropy(F.col("url")), 6).alias("entropy"), columns.redact(F.col("url")).alias("redacted"))
+
+
+def inline_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers on lines made of the pages' paths: bare, for the detector, for one whose id is longer, for another."""
+    marks = F.element_at(F.array(*map(F.lit, ("# lodesift:ignore", "# lodesift:ignore:jwt", "# lodesift:ignore:jwt-x", "# lodesift:ignore:npm-token lodesift:ignore", "# lodesift"))), (F.col("page_id") % 5 + 1).cast("int"))
+    line = F.concat("path", F.lit(" "), marks)
+    return _pages(spark, sf_dir).select("page_id", columns.line_ignored(line, "jwt").alias("ignored"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        scan_planted, severity_summary, severity_floor, findings_order, sarif_rule_index, sarif_results, github_annotations, csv_report, verification_keys,
+        finding_kinds, capability_counts, http_status_mapping, prefilter_selectivity, glob_filter, ignore_rules, skip_files, url_entropy, inline_markers,
+    )
+} | {"scan_all_detectors": flagship}
+
+_DIM = "dim(detector_id, kind) AS (VALUES " + ", ".join(f"('{d}', '{verification.kind(d)}')" for d in BUILT_IN) + ")"
+_LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'warning' ELSE '{}' END"
+_PAGES = r"WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([^?]*)', 1) AS path, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages) "
+_ANSWERS = " ".join(
+    f"WHEN detector_id = '{d}' AND code IN ({', '.join(map(str, codes))}) THEN '{status}'"
+    for d, both in verification.ANSWERS.items()
+    for codes, status in zip(both, ("verified_active", "verified_inactive"), strict=True)
+    if codes
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "scan_planted": _FOUND + "SELECT doc_id, file_path, detector_id, severity, redacted, line, byte_start, byte_end, id FROM found",
+    "severity_summary": _FOUND + "SELECT severity, count(*) AS findings FROM found GROUP BY 1",
+    "severity_floor": _FOUND + "SELECT detector_id, count(*) AS findings FROM found WHERE severity = 'critical' GROUP BY 1",
+    "findings_order": _FOUND + "SELECT file_path, line, detector_id, redacted, id FROM found ORDER BY 1, 2, 3, 4, 5",
+    "sarif_rule_index": _FOUND + "SELECT detector_id, severity, (row_number() OVER (ORDER BY file_path, line, detector_id, redacted, id) - 1)::INTEGER AS rule_index FROM (SELECT *, row_number() OVER (PARTITION BY detector_id ORDER BY file_path, line, detector_id, redacted, id) AS n FROM found) WHERE n = 1",
+    "sarif_results": _FOUND + f"SELECT detector_id AS rule_id, {_LEVEL.format('note')} AS level, 'Secret found: ' || redacted AS message, substr(sha256(detector_id || chr(0) || redacted || chr(0) || file_path), 1, 32) AS fingerprint, file_path AS uri, line AS start_line FROM found",
+    "github_annotations": _FOUND + f"SELECT '::' || {_LEVEL.format('notice')} || ' file=' || file_path || ',line=' || line || ',title=lodesift%3A ' || detector_id || '::Potential secret detected by ' || detector_id || ' (' || severity || '): ' || redacted AS command FROM found",
+    "csv_report": _FOUND + "SELECT id, detector_id, severity, redacted, file_path, line::VARCHAR AS line, 'unverified' AS verification_status FROM found",
+    "verification_keys": _FOUND + "SELECT detector_id, count(*) AS findings, count(DISTINCT raw) AS distinct_values FROM found GROUP BY 1",
+    "finding_kinds": _FOUND.rstrip() + f", {_DIM} SELECT kind, count(*) AS findings FROM found JOIN dim USING (detector_id) GROUP BY 1",
+    "capability_counts": f"WITH {_DIM} SELECT kind, count(*) AS detectors FROM dim GROUP BY 1",
+    "http_status_mapping": f"WITH {_DIM}, codes(code) AS (VALUES (200), (301), (400), (401), (403), (404), (405), (429), (500)), s AS (SELECT code, CASE WHEN kind IN ('none', 'format_only') THEN 'unverified' {_ANSWERS} WHEN detector_id IN ({', '.join(repr(d) for d in verification.ANSWERS)}) THEN 'verify_error' WHEN code = 200 THEN 'verified_active' WHEN code = 401 THEN 'verified_inactive' ELSE 'verify_error' END AS status FROM dim, codes) SELECT code, status, count(*) AS detectors FROM s GROUP BY 1, 2",
+    "prefilter_selectivity": _prefilter_sql(),
+    "glob_filter": _PAGES + r"SELECT page_id, regexp_matches(host, '^[^/]*\.example\.org$') AS by_host, regexp_matches(path, '^en/[0-4][^/]*$') OR regexp_matches(path, '^fr/[^/]$') AS by_path FROM p",
+    "ignore_rules": _PAGES + r"SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)de/+[^/]') THEN true WHEN regexp_matches(path, '^([^/]+/)*[^/]*\.tmp$') THEN true WHEN regexp_matches(path, '^es/1[^/]*$') THEN false WHEN regexp_matches(path, '^es(/|$)') THEN true ELSE false END AS ignored FROM p",
+    "skip_files": _PAGES + "SELECT page_id, path || '/' || n AS path, n IN ('go.sum', 'a/yarn.lock', 'b.PNG', 'c.tar.gz') AS skipped FROM (SELECT *, ['go.sum', 'a/yarn.lock', 'b.PNG', 'c.tar.gz', 'd.py', 'e', 'f.lock'][page_id % 7 + 1] AS n FROM p)",
+    "url_entropy": _PAGES + "SELECT page_id, round(list_aggregate(string_split(url, ''), 'entropy'), 6) AS entropy, '****' || right(url, 4) AS redacted FROM p",
+    "inline_markers": _PAGES + "SELECT page_id, page_id % 5 IN (0, 1) AS ignored FROM p",
+}
