@@ -83,6 +83,8 @@ class Graph:
         order = np.argsort(d, axis=1, kind="stable")
         k = np.arange(len(points))[:, None]
         cand, d = cand[k, order], d[k, order]
+        at = self.nodes[cand]
+        square = np.einsum("ijk,ijk->ij", at, at)
         kept = np.full((len(points), DEGREE), -1, np.int32)
         alive = np.isfinite(d)
         row = np.arange(len(points))
@@ -93,8 +95,8 @@ class Graph:
             some = alive[row, first]
             chosen = cand[row, first]
             kept[some, i] = chosen[some]
-            gap = self.nodes[cand] - self.nodes[chosen][:, None, :]
-            between = np.einsum("ijk,ijk->ij", gap, gap)
+            dots = np.matmul(at, at[row, first][:, :, None])[:, :, 0]
+            between = square + square[row, first][:, None] - 2 * dots
             alive &= (alpha * alpha * between > d) & some[:, None]
             alive[row, first] = False
         return kept
