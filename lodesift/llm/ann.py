@@ -178,6 +178,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id
         _, first, back = np.unique(np.ascontiguousarray(v).view(f"V{8 * dim}").ravel(), return_index=True, return_inverse=True)
         graph = build(v[first].astype(np.float32))
         by = np.lexsort((ids, back))
+        again = np.zeros(len(by), bool)
+        again[1:] = (ids[by][1:] == ids[by][:-1]) & (back[by][1:] == back[by][:-1])
+        by = by[~again]
         return pa.table({"shard": [key[0].as_py()], "ids": [ids[by].tobytes()], "of": [back[by].astype(np.int32).tobytes()], "nodes": [v[first].tobytes()], "out": [graph.out.tobytes()], "start": [graph.start]})
 
     index = usable.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("shard").applyInArrow(fit, "shard long, ids binary, of binary, nodes binary, out binary, start long")
