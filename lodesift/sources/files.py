@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodesift.functions.columns import binary
+from lodesift.functions.globs import covers
 from lodesift.operators import paths
 
 CHUNK = "file_path string, data binary, source_type string"
@@ -32,3 +34,12 @@ def files(spark: SparkSession, root: str, extra: Iterable[str] = (), globs: Iter
 def texts(docs: DataFrame, path: Column, text_col: str = "text") -> DataFrame:
     """Rows of a table as chunks; all columns stay."""
     return docs.withColumn("file_path", path).withColumn("data", F.col(text_col).cast("binary")).withColumn("source_type", F.lit("table"))
+
+
+def objects(spark: SparkSession, root: str, bucket: str, source_type: str = "s3", extra: Iterable[str] = (), globs: Iterable[str] = (), largest: int = paths.LARGEST) -> DataFrame:
+    """The text objects below an address of a store that Spark reads, named bucket/key. Unlike files, lock files
+    are scanned; empty objects aren't."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where((F.col("length") <= largest) & (F.col("length") > 0))
+    key = _relative(F.col("path"), root)
+    kept = read.where(~paths.excluded_extension(key, extra) & ~covers(key, globs) & ~binary(F.col("content")))
+    return kept.select(F.concat(F.lit(f"{bucket}/"), key).alias("file_path"), F.col("content").alias("data"), F.lit(source_type).alias("source_type"))
