@@ -16,6 +16,7 @@ from lodesift.operators import findings, paths, verification
 from lodesift.operators.registry import BUILT_IN
 from lodesift.operators.scan import ScanOptions, scan
 from lodesift.sinks import reports
+from lodesift.sources import chat, history
 from lodesift.sources.files import texts
 
 #: What is planted: the start of a value, and how many hex digits follow it.
@@ -190,11 +191,31 @@ def inline_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", columns.line_ignored(line, "jwt").alias("ignored"))
 
 
+def history_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a history: a commit for each, a minute apart, that writes its text to one of a few paths."""
+    docs = _documents(spark, sf_dir).withColumn("commit", F.md5(F.concat(F.lit("c"), F.col("doc_id").cast("string")))).withColumn("blob", F.md5("text"))
+    before = F.md5(F.concat(F.lit("c"), (F.col("doc_id") - 1).cast("string")))
+    commits = docs.select("commit", before.alias("parent"), F.timestamp_seconds(F.lit(1_600_000_000) + F.col("doc_id") * 60).alias("ts"), "doc_id")
+    changes = docs.select("commit", F.concat(F.lit("src/"), F.substring("blob", 1, 1), F.lit(".txt")).alias("path"), "blob", F.when(F.col("text").isNull(), "D").otherwise("A").alias("op"))
+    blobs = docs.where("text is not null").groupBy("blob").agg(F.max("text").alias("text")).select("blob", F.col("text").cast("binary").alias("data"))
+    found = history.history(commits, changes, blobs)
+    return found.select("doc_id", "commit", "file_path", F.unix_seconds("date").alias("committed"), F.length("data").cast("long").alias("n_bytes"))
+
+
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as channels, without what the channel of system messages says."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    messages = talks.select(F.col("conv_id").cast("string").alias("channel"), F.col("role").alias("channel_name"), F.col("role").alias("user"), F.col("turn").cast("string").alias("ts"), F.lit(None).cast("string").alias("thread_ts"), "text")
+    found = chat.chat(messages, exclude=["system"])
+    return found.select("channel", "channel_name", "message_ts", "source_type", F.length("data").cast("long").alias("n_bytes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         scan_planted, severity_summary, severity_floor, findings_order, sarif_rule_index, sarif_results, github_annotations, csv_report, verification_keys,
         finding_kinds, capability_counts, http_status_mapping, prefilter_selectivity, glob_filter, ignore_rules, skip_files, url_entropy, inline_markers,
+        history_chunks, chat_messages,
     )
 } | {"scan_all_detectors": flagship}
 
@@ -209,6 +230,8 @@ _ANSWERS = " ".join(
 )
 
 ORACLE_SQL: dict[str, str] = {
+    "history_chunks": "SELECT max(doc_id) AS doc_id, md5('c' || max(doc_id)) AS commit, 'src/' || substr(md5(text), 1, 1) || '.txt' AS file_path, 1600000000 + max(doc_id) * 60 AS committed, max(strlen(text))::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL AND strlen(text) <= 10485760 GROUP BY text",
+    "chat_messages": "SELECT conv_id::VARCHAR AS channel, role AS channel_name, turn::VARCHAR AS message_ts, 'slack' AS source_type, strlen(text)::BIGINT AS n_bytes FROM conversations WHERE role <> 'system' AND text <> ''",
     "scan_planted": _FOUND + "SELECT doc_id, file_path, detector_id, severity, redacted, line, byte_start, byte_end, id FROM found",
     "severity_summary": _FOUND + "SELECT severity, count(*) AS findings FROM found GROUP BY 1",
     "severity_floor": _FOUND + "SELECT detector_id, count(*) AS findings FROM found WHERE severity = 'critical' GROUP BY 1",

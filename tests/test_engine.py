@@ -26,7 +26,7 @@ def _rows(df, *cols):
 @pytest.mark.parametrize("name", list(catalog.ORACLE_SQL))
 def test_catalog_agrees_with_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
