@@ -163,6 +163,29 @@ def test_passages_are_found_and_clean_texts_left(spark):
         assert any(s.start <= 32 and s.end >= 88 for s in got[i].spans)
 
 
+def plain_hashes(n, seed):
+    return np.random.default_rng(seed).integers(0, 1 << 62, n).astype(np.uint64)
+
+
+@pytest.mark.parametrize(("n", "more"), [(64, 4), (70, 5), (75, 6), (85, 8)])
+def test_one_sided_insertions_are_near_duplicates(n, more):
+    text = [f"a{k}" for k in range(n)]
+    longer = text[: n // 2] + [f"b{k}" for k in range(more)] + text[n // 2 :]
+    h, offsets = substring.shingles(np.frombuffer(" ".join(text).encode() + " ".join(longer).encode(), np.uint8), np.array([0, len(" ".join(text)), len(" ".join(text)) + len(" ".join(longer))]))
+    a, b = h[: offsets[1]], h[offsets[1] :]
+    want = (n - 8) / (n - 4 + more + 4)
+    assert want >= 0.8
+    for x, y in ((a, b), (b, a)):
+        p, q, i, j, jaccard = substring.verified(x, y, 46, 0.8)
+        assert (p, q, i, j) == (0, len(x), 0, len(y)) and jaccard == pytest.approx(want)
+
+
+def test_dissimilar_passages_are_not_verified():
+    a, b = plain_hashes(60, 1), plain_hashes(60, 1)
+    b[::4] = plain_hashes(15, 2)
+    assert substring.verified(a, b, 46, 0.8) is None
+
+
 def brute_fingerprint(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     found, word = [], ""
