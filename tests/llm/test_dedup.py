@@ -163,6 +163,19 @@ def test_passages_are_found_and_clean_texts_left(spark):
         assert any(s.start <= 32 and s.end >= 88 for s in got[i].spans)
 
 
+def test_variants_of_a_passage_are_joined_each(spark):
+    rng = random.Random(12)
+    one = words(rng, 60, 10**6)
+    rows = []
+    for i in range(60):
+        variant = list(one)
+        for k in (12, 24, 36, 48):
+            variant[k] = f"x{i % 20}y{k}"
+        rows.append((i, " ".join(words(rng, 30, 10**6) + variant + words(rng, 30, 10**6))))
+    got = {r.doc_id: r.class_id for r in substring.near_duplicate_passages(docs_frame(spark, rows)).collect()}
+    assert got == {i: i % 20 for i in range(60)}
+
+
 def plain_hashes(n, seed):
     return np.random.default_rng(seed).integers(0, 1 << 62, n).astype(np.uint64)
 
