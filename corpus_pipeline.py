@@ -21,7 +21,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking credentials of one owner are masked."""
+    """Live-looking credentials that aren't copied examples are masked."""
     return secrets.redact(docs)
 
 

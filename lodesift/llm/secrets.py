@@ -2,8 +2,8 @@
 
 Candidates are found in each text by pattern; only their positions and the SHA-256 of their values leave the
 row. Over the corpus, a value's hash is aggregated by distinct owners and distinct repositories: a
-value that many owners carry is a copied example, one that a single owner has and that looks generated is a
-live-looking credential.
+value that many owners or many repositories carry is a copied example; one that fewer have, of both, and that
+looks generated is a live-looking credential, leaked in one place or spread to a few.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ HEX = r"([0-9a-f]{32,})"
 KINDS = ("assign", "access", "hex", "example", "live")
 #: A value that so many owners have, at least, is an example.
 EXAMPLE_OWNERS = 3
-#: A value that at most so many owners have may be live.
-LIVE_OWNERS = 1
+#: A value that so many repositories have, at least, is an example, whoever owns them.
+EXAMPLE_REPOSITORIES = 10
 LIVE_CHARS = 16
 #: Lower-cased values with one of these in them are placeholders.
 PLACEHOLDERS = ("example", "changeme", "placeholder", "password", "dummy", "sample", "xxxx", "your_", "your-", "redacted", "todo")
@@ -88,7 +88,8 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_c
     scanned = materialize(scanned, "scanned")
     each = scanned.where(F.size("found") > 0).select("row", "owner", "repository", F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["hash"].alias("hash"), x["live"].alias("live"))))).alias("c")).select("row", "owner", "repository", "c.hash", "c.live")
     counts = ownership(each)
-    judged = each.join(counts, "hash").withColumn("class", F.when(F.col("owners") >= EXAMPLE_OWNERS, KINDS.index("example")).when((F.col("owners") <= LIVE_OWNERS) & F.col("live"), KINDS.index("live")))
+    copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    judged = each.join(counts, "hash").withColumn("class", F.when(copied, KINDS.index("example")).when(F.col("live"), KINDS.index("live")))
     classes = judged.where("class is not null").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("hash", "class"))).alias("classes"))
     return scanned, classes
 
@@ -122,7 +123,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, chars_col: str = "n_chars") -> DataFrame:
-    """docs with every live-looking, owner-specific value masked in its text, and the number of characters set
+    """docs with every live-looking value that isn't a copied example masked in its text, and the number of characters set
     anew in those; columns and all other rows as they were. Values don't leave their row."""
     scanned, classes = _scanned(docs, id_col, text_col, owner_col, repo_col or id_col)
     live = classes.select("row", F.map_keys(F.map_filter("classes", lambda _, k: k == KINDS.index("live"))).alias("__live")).where(F.size("__live") > 0)

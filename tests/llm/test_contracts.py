@@ -66,6 +66,17 @@ def test_secret_ownership(spark):
     assert sorted(r.text for r in secrets.redact(docs).collect()) == sorted(["token=[secret]", *[f"token={copied}"] * 3])
 
 
+def test_secret_classes_by_owners_and_repositories(spark):
+    copied, pair, few = "r8Xe04lMnA1qYt93WcUo", "q7Wd93kLmZ0pXs82VbTn", "t5Rb61hJkY9nVq70UzSm"
+    rows = [(i, f"token={copied}", "a") for i in range(secrets.EXAMPLE_REPOSITORIES)]
+    rows += [(100, f"token={pair}", "a"), (101, f"token={pair}", "b")]
+    rows += [(200 + i, f"token={few}", "a") for i in range(secrets.EXAMPLE_REPOSITORIES - 1)] + [(200, f"token={few}", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_live, r.n_example) for r in secrets.scan(docs).collect()}
+    assert got == {i: (0, 1) if i < 100 else (1, 0) for i, _, _ in rows}
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {i: t if i < 100 else "token=[secret]" for i, t, _ in rows}
+
+
 def test_media_round_trip(docs, plain):
     got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.digest(docs).collect())
     want = Counter()
