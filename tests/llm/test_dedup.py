@@ -176,6 +176,28 @@ def test_variants_of_a_passage_are_joined_each(spark):
     assert got == {i: i % 20 for i in range(60)}
 
 
+def test_each_place_of_a_passage_is_a_span(spark):
+    rng = random.Random(21)
+    some = lambda n: words(rng, n, 10**6)
+    twice, one, two = some(60), some(60), some(60)
+    rows = [(0, some(30) + twice + some(90) + twice + some(30)), (1, some(80) + twice + some(20))]
+    rows += [(2, some(10) + one + some(25) + two + some(10)), (3, some(10) + one + some(25) + two + some(10))]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in substring.near_duplicate_passages(docs_frame(spark, [(i, " ".join(t)) for i, t in rows])).collect()}
+    holds = lambda i, lo, hi: any(a <= lo + 2 and b >= hi - 2 for a, b in got[i])
+    assert holds(0, 30, 90) and holds(0, 180, 240) and holds(1, 80, 140)
+    for i in (2, 3):
+        assert holds(i, 10, 70) and holds(i, 95, 155)
+
+
+def test_all_passages_of_two_sequences_are_verified():
+    x, y = plain_hashes(60, 1), plain_hashes(60, 2)
+    a, b = (np.concatenate([x, plain_hashes(30, k), y]) for k in (3, 4))
+    got = sorted(t[:4] for t in substring.every_verified(a, b, 46, 0.8))
+    assert got == [(0, 60, 0, 60), (90, 150, 90, 150)]
+    got = sorted(t[:4] for t in substring.every_verified(np.concatenate([x, plain_hashes(30, 3), x]), x, 46, 0.8))
+    assert got == [(0, 60, 0, 60), (90, 150, 0, 60)]
+
+
 def plain_hashes(n, seed):
     return np.random.default_rng(seed).integers(0, 1 << 62, n).astype(np.uint64)
 
