@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is
-    unset, as in tests on one machine, a temporary folder is taken and set."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset and
+    driver and executors are one process, as in tests, a temporary folder is taken and set; on a cluster
+    that is an error, as no folder of one machine is seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lodesift-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,11 +46,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before
             return
 
@@ -56,7 +64,64 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     depend on any executor that has taken part in it."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes what materialize() has written, once nothing reads it any more."""
+    for df in stored:
+        at = (df.sparkSession, df.stored_at)
+        if at in _written:
+            _delete(*at)
+            _written.remove(at)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that are added for a while, none of them a column of df, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bits of a filter for each of its keys, at least, and in all, at most; functions of a key.
+FILTER_BITS, MOST_FILTER_BITS, FILTER_HASHES = 16, 1 << 26, 4
+_PAGE = 1 << 15  # bits of one bitmap of bitmap_construct_agg
+
+
+def maybe_in(keys: DataFrame, key_col: str, most_bits: int = MOST_FILTER_BITS) -> Callable[[Column], Column]:
+    """A test for columns of longs: false only for those that aren't among the keys. It is a Bloom filter of
+    MOST_FILTER_BITS at most, built and asked by DataFrame functions, so that rows that a small decision doesn't
+    concern needn't meet it in an exchange. With more keys than it holds more rows pass as possible, and the
+    exact join that follows is as right as before, but has more to move."""
+    n = keys.count()
+    bits = _PAGE
+    while bits < min(n * FILTER_BITS, most_bits):
+        bits *= 2
+    place = lambda key, k: F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits).cast("long")) + 1
+    places = keys.select(F.explode(F.array(*[place(F.col(key_col), k) for k in range(FILTER_HASHES)])).alias("at"))
+    pages = places.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    by_page = pages.agg(F.map_from_entries(F.collect_list(F.struct("page", "bitmap"))).alias("m"))
+    held = by_page.select(F.transform(F.sequence(F.lit(1).cast("long"), F.lit(bits // _PAGE).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(bytes(_PAGE // 8)))).alias("pages")).scalar()
+
+    def has(key: Column, k: int) -> Column:
+        at = place(key, k)
+        byte = F.substring(F.element_at(held, F.bitmap_bucket_number(at).cast("int")), (F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))
+        return F.call_function("getbit", F.conv(F.hex(byte), 16, 10).cast("long"), F.pmod(F.bitmap_bit_position(at), F.lit(8)).cast("int")) == 1
+
+    def test(key: Column) -> Column:
+        out = F.lit(True)
+        for k in range(FILTER_HASHES):
+            out = out & has(key, k)
+        return out
+
+    return test
 
 
 def partitions(spark: SparkSession) -> int:

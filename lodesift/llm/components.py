@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.llm.common import materialize
+from lodesift.llm.common import discard, materialize
 
 
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -24,5 +24,7 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst") -
         least = both.join(of, both["v"] == of["node"]).groupBy("u").agg(F.min("label").alias("m"))
         hooked = of.join(least, of["node"] == least["u"]).select("node", "label", F.least("label", "m").alias("next"))
         jump = of.select(F.col("node").alias("at"), F.col("label").alias("on"))
-        labels = materialize(hooked.join(jump, hooked["next"] == jump["at"]).select("node", F.least("next", "on").alias("label"), (F.least("next", "on") < F.col("label")).alias("moved")), "labels")
+        before, labels = labels, materialize(hooked.join(jump, hooked["next"] == jump["at"]).select("node", F.least("next", "on").alias("label"), (F.least("next", "on") < F.col("label")).alias("moved")), "labels")
+        discard(before)
+    discard(both)
     return labels.select("node", F.col("label").alias("root"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodesift.llm.common import WORD, materialize, word_count
+from lodesift.llm.common import WORD, free_names, materialize, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3
@@ -88,26 +88,38 @@ def cut_rows(placed: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """The mix itself, with the columns of docs: each row once for every epoch that takes it, the row at a
-    source's cut with only its first words. Rows without a word are in no mix, except those of sources
-    without any word, which stay once. Repeated rows at a cut each give what the last of them gives.
+    """The mix itself, with the columns of docs, whatever their names: each row once for every epoch that takes it, the
+    row at a source's cut with only its first words. Rows without a word (null, empty) are in no mix, except those
+    of sources without any word, which stay once. Null sources are one source; null ids share a key; repeated
+    rows at a cut each give what the last of them gives; an empty table gives no rows.
 
-    The texts meet only the plan, a row for each source, and the rows at cuts, about one in RANGES."""
+    The texts meet only the plan, a row for each source; those in the ranges at cuts, about one in RANGES, meet
+    what is cut as well."""
     sized, plan = planned(docs, id_col, source_col, text_col, weights, most)
     cuts = sized.join(plan, sized["source"].eqNullSafe(plan["s"]) & (F.col("range") == F.col("r_cut")))
-    cuts = materialize(cut_rows(cuts).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__n")).agg(F.min("extra").alias("__extra")), "cuts")
-    own = docs.withColumns({"__size": word_count(F.col(text_col)), "__range": key_range(order_key(F.col(id_col)))})
-    own = own.join(plan, own[source_col].eqNullSafe(plan["s"])).join(cuts, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__n")), "left")
-    extra = F.when(F.col("__range") == F.col("r_cut"), F.coalesce("__extra", F.lit(0).cast("long"))).when(F.col("__range") < F.col("r_cut"), F.col("__size")).otherwise(F.lit(0).cast("long"))
-    parts = F.concat(F.array_repeat("__size", F.col("epochs").cast("int")), F.when(extra > 0, F.array(extra)).otherwise(F.array().cast("array<bigint>")))
-    parts = F.when(F.col("__size") > 0, parts).when(F.col("source_size") == 0, F.array(F.col("__size"))).otherwise(F.array().cast("array<bigint>"))
-    taken = own.withColumn("__part", F.explode(parts))
-    n = F.col("__part").cast("int")
+    at_cut = materialize(cut_rows(cuts).groupBy("doc_id", "size").agg(F.min("extra").alias("extra")), "cuts")
+    size, place, source, whole, epochs, r_cut, cut_id, cut_size, extra, part = free_names(docs, "size", "range", "source_at", "source_size", "epochs", "r_cut", "cut_id", "cut_size", "extra", "part")
+    own = docs.withColumns({size: word_count(F.col(text_col)), place: key_range(order_key(F.col(id_col)))})
+    told = plan.select(F.col("s").alias(source), F.col("source_size").alias(whole), F.col("epochs").alias(epochs), F.col("r_cut").alias(r_cut))
+    own = own.join(told, F.col(source_col).eqNullSafe(F.col(source)))
+    within = F.coalesce(F.col(place) == F.col(r_cut), F.lit(False))
+    zero = F.lit(0).cast("long")
+    rest = own.where(~within).withColumn(extra, F.when(F.col(place) < F.col(r_cut), F.col(size)).otherwise(zero))
+    at_cut = at_cut.select(F.col("doc_id").alias(cut_id), F.col("size").alias(cut_size), F.col("extra").alias(extra))
+    met = own.where(within).join(at_cut, F.col(id_col).eqNullSafe(F.col(cut_id)) & (F.col(size) == F.col(cut_size)), "left").withColumn(extra, F.coalesce(extra, zero))
+    used = [F.col(f"`{c}`") for c in (*docs.columns, size, whole, epochs, extra)]
+    own = rest.select(*used).unionByName(met.select(*used))
+    none = F.array().cast("array<bigint>")
+    parts = F.concat(F.array_repeat(size, F.col(epochs).cast("int")), F.when(F.col(extra) > 0, F.array(extra)).otherwise(none))
+    parts = F.when(F.col(size) > 0, parts).when(F.col(whole) == 0, F.array(size)).otherwise(none)
+    taken = own.withColumn(part, F.explode(parts))
+    n = F.col(part).cast("int")
     words, gaps = F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1)), F.split(text_col, WORD, -1)
     first = F.array_join(F.flatten(F.zip_with(F.slice(gaps, 1, n), F.slice(words, 1, n), lambda g, w: F.array(g, w))), "")
-    out = taken.withColumn(text_col, F.when(F.col("__part") < F.col("__size"), first).otherwise(F.col(text_col)))
+    cut = F.col(part) < F.col(size)
+    out = taken.withColumn(text_col, F.when(cut, first).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("__part") < F.col("__size"), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+        out = out.withColumn(chars_col, F.when(cut, F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -8,10 +8,12 @@ looks generated is a live-looking credential, leaked in one place or spread to a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.llm.common import materialize
+from lodesift.llm.common import free_names, materialize, maybe_in
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"(AKIA[A-Z0-9]+)"
@@ -26,6 +28,8 @@ LIVE_CHARS = 16
 #: Lower-cased values with one of these in them are placeholders.
 PLACEHOLDERS = ("example", "changeme", "placeholder", "password", "dummy", "sample", "xxxx", "your_", "your-", "redacted", "todo")
 MASK = "[secret]"
+#: Matches that are numbered at once, so that many matches in a text cost in proportion.
+BLOCK = 128
 
 _FOUND = "array<struct<kind:int,start:int,end:int,from:int,hash:string,live:boolean>>"
 
@@ -47,7 +51,23 @@ def _matches(text: Column, kind: int, pattern: str, group: int, least: int) -> C
         one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), (end - F.length(x["value"])).alias("from"), F.sha2(x["value"], 256).alias("hash"), looks_live(x["value"]).alias("live"))
         return F.struct(end.alias("at"), F.when(F.coalesce(F.length(x["value"]) >= least, F.lit(False)), F.concat(state["found"], F.array(one).cast(_FOUND))).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found")), step, lambda state: state["found"])
+    def block(p: Column, b: Column) -> Column:
+        return F.aggregate(F.slice(p, b * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("found")), step)
+
+    def shifted(x: Column, by: Column) -> Column:
+        return F.transform(x["found"], lambda m: F.struct(m["kind"].alias("kind"), (m["start"] + by).alias("start"), (m["end"] + by).alias("end"), (m["from"] + by).alias("from"), m["hash"].alias("hash"), m["live"].alias("live")))
+
+    def placed(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        return F.flatten(F.zip_with(blocks, starts, shifted))
+
+    each = _with(parts, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda b: block(p, b)))
+    return _with(each, placed)
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _kinds(text: Column) -> list[tuple[Column, str, int, int]]:
@@ -82,16 +102,16 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def _scanned(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, mark, found) for each row of docs, and the class of each row's values: (row, classes map<hash,
-    kind>) for rows that have an example or a live-looking value."""
+    """(row, doc_id, mark, found) for each row of docs, and (row, hash, kind, start, end) for each of its values that is an
+    example or a live-looking one."""
     scanned = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(owner_col).alias("owner"), F.col(repo_col).alias("repository"), F.xxhash64(text_col).alias("mark"), candidates(F.col(text_col)).alias("found"))
     scanned = materialize(scanned, "scanned")
-    each = scanned.where(F.size("found") > 0).select("row", "owner", "repository", F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["hash"].alias("hash"), x["live"].alias("live"))))).alias("c")).select("row", "owner", "repository", "c.hash", "c.live")
+    each = scanned.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("c"))
+    each = each.select("row", "owner", "repository", "c.hash", "c.live", F.col("c.from").alias("start"), "c.end")
     counts = ownership(each)
     copied = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
-    judged = each.join(counts, "hash").withColumn("class", F.when(copied, KINDS.index("example")).when(F.col("live"), KINDS.index("live")))
-    classes = judged.where("class is not null").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("hash", "class"))).alias("classes"))
-    return scanned, classes
+    judged = each.join(counts, "hash").withColumn("kind", F.when(copied, KINDS.index("example")).when(F.col("live"), KINDS.index("live")))
+    return scanned, judged.where("kind is not null").select("row", "hash", "kind", "start", "end")
 
 
 def _text_of(spans: Column) -> Column:
@@ -106,32 +126,40 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     shows to be one. Where no repository column is named, each document is its own repository. Null
     and empty texts have no spans; repeated rows stay repeated and count once in the corpus; an empty table
     gives no rows; other columns aren't read."""
-    scanned, classes = _scanned(docs, id_col, text_col, owner_col, repo_col or id_col)
-    span = lambda x, kind=None, start="start": F.struct(x[start].alias("start"), (x["kind"] if kind is None else kind).alias("kind"), x["end"].alias("end"))
-    base = F.transform("found", lambda x: span(x))
-    added = F.transform(F.filter("found", lambda x: F.map_contains_key("classes", x["hash"])), lambda x: span(x, F.element_at("classes", x["hash"]), "from"))
-    added = F.array_distinct(F.coalesce(added, F.array().cast("array<struct<start:int,kind:int,end:int>>")))
-    joined = scanned.join(classes, "row", "left")
+    scanned, judged = _scanned(docs, id_col, text_col, owner_col, repo_col or id_col)
+    added = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
+    joined = scanned.join(added, "row", "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")))
+    joined = joined.withColumn("added", _with(F.col("added"), lambda s: F.filter(s, lambda x, i: F.coalesce(x != F.get(s, i - 1), F.lit(True)))))
+    base = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     of = lambda spans, k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
     return joined.select(
         "doc_id",
         *[of("found", k).alias(f"n_{KINDS[k]}") for k in range(3)],
         F.sha2(_text_of(base), 256).alias("base_sha256"),
-        _text_of(F.concat(base, added)).alias("spans"),
-        *[of(added, k).alias(f"n_{KINDS[k]}") for k in (3, 4)],
+        _text_of(F.concat(base, F.col("added"))).alias("spans"),
+        *[of("added", k).alias(f"n_{KINDS[k]}") for k in (3, 4)],
     )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None, chars_col: str = "n_chars") -> DataFrame:
     """docs with every live-looking value that isn't a copied example masked in its text, and the number of characters set
-    anew in those; columns and all other rows as they were. Values don't leave their row."""
-    scanned, classes = _scanned(docs, id_col, text_col, owner_col, repo_col or id_col)
-    live = classes.select("row", F.map_keys(F.map_filter("classes", lambda _, k: k == KINDS.index("live"))).alias("__live")).where(F.size("__live") > 0)
-    live = scanned.select("row", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).join(live, "row").drop("row")
-    live = materialize(live.dropDuplicates(["__id", "__mark"]), "live")
-    joined = docs.join(live, docs[id_col].eqNullSafe(live["__id"]) & (F.xxhash64(docs[text_col]) == live["__mark"]), "left")
-    masked = F.aggregate(F.filter(values(F.col(text_col)), lambda v: F.array_contains("__live", F.sha2(v, 256))), F.col(text_col), lambda text, v: F.replace(text, v, F.lit(MASK)))
-    out = joined.withColumn(text_col, F.when(F.col("__live").isNotNull(), masked).otherwise(F.col(text_col)))
+    anew in those; columns, whatever their names, and all other rows as they were. Values don't leave their row.
+    Null and empty texts stay; repeated rows stay repeated; an empty table gives no rows.
+
+    Of the rows themselves, only those that a filter of bounded size can't rule out to hold such a value meet the
+    decision in an exchange."""
+    scanned, judged = _scanned(docs, id_col, text_col, owner_col, repo_col or id_col)
+    key, live_id, mark, live = free_names(docs, "key", "live_id", "mark", "live")
+    hashes = judged.where(F.col("kind") == KINDS.index("live")).groupBy("row").agg(F.collect_set("hash").alias(live))
+    told = scanned.join(hashes, "row").select(F.xxhash64("doc_id", "mark").alias(f"{key}_"), F.col("doc_id").alias(live_id), F.col("mark").alias(mark), live)
+    told = materialize(told.dropDuplicates([live_id, mark]), "live")
+    perhaps = maybe_in(told, f"{key}_")
+    own = docs.withColumn(key, F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
+    exact = (F.col(key) == F.col(f"{key}_")) & F.col(id_col).eqNullSafe(F.col(live_id)) & (F.xxhash64(text_col) == F.col(mark))
+    met = own.where(perhaps(F.col(key))).join(told, exact, "left")
+    masked = F.aggregate(F.filter(values(F.col(text_col)), lambda v: F.array_contains(live, F.sha2(v, 256))), F.col(text_col), lambda text, v: F.replace(text, v, F.lit(MASK)))
+    met = met.withColumn(text_col, F.when(F.col(live).isNotNull(), masked).otherwise(F.col(text_col)))
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("__live").isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        met = met.withColumn(chars_col, F.when(F.col(live).isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return own.where(~perhaps(F.col(key))).select(*columns).unionByName(met.select(*columns))
