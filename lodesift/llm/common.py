@@ -137,7 +137,7 @@ def text_bytes(column: pa.Array) -> pa.Array:
     """The UTF-8 bytes of a string column without a copy; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
     out = column.view(kind) if column.offset == 0 and column.null_count == 0 else column.cast(kind)
     return out.fill_null(b"") if out.null_count else out
 

@@ -156,9 +156,12 @@ def test_passages_are_found_and_clean_texts_left(spark):
             own = own[:20] + passage[:40] + own[20:]
         rows.append((i, " ".join(own)))
     rows += [(40, None), (41, ""), (None, " ".join(passage))]
-    got = {r.doc_id: r for r in substring.near_duplicate_passages(docs_frame(spark, rows)).collect()}
-    assert sorted(got) == [3, 5, 17, 29, 31]
-    assert {got[i].class_id for i in (3, 17, 29)} == {3} and {got[i].class_id for i in (5, 31)} == {5}
+    every = substring.near_duplicate_passages(docs_frame(spark, rows)).collect()
+    assert sorted(r.doc_id is None or r.doc_id for r in every) == sorted(i is None or i for i, _ in rows)
+    assert all(r.class_id == r.doc_id and r.class_size == 1 and r.spans == [] for r in every if not r.n_passages)
+    got = {r.doc_id: r for r in every if r.n_passages}
+    assert sorted(got, key=str) == [17, 29, 3, 31, 5, None]
+    assert {(got[i].class_id, got[i].class_size) for i in (3, 17, 29, None)} == {(3, 4)} and {got[i].class_id for i in (5, 31)} == {5}
     for i in (3, 17, 29):
         assert any(s.start <= 32 and s.end >= 88 for s in got[i].spans)
 
