@@ -19,6 +19,18 @@ def optional(found: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(f"`{name}`") if name in found.columns else F.lit(None).cast(kind).alias(name)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns that are added for a while, none of them a column of df, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def at_least(found: DataFrame, severity: str) -> DataFrame:
     """Findings of that severity or a higher one."""
     if severity not in SEVERITIES:

@@ -6,15 +6,19 @@ values then decide which leaves are secrets.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import tomllib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from xml.parsers import expat
 
+import regex
+
 from lodesift.functions import values
-from lodesift.operators.contextual import LEAST_ENTROPY, is_bare_reference, is_degenerate, reads_like_words
+from lodesift.operators.contextual import LEAST_ENTROPY, is_variable_name, reads_like_words
 from lodesift.operators.detectors import Detector, Match
 
 try:
@@ -54,67 +58,67 @@ FILES = ("/", "./", "../", "~/", "\\\\", "file:", "secrets/", ".secrets/", "cert
 KEY_FILES = (".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".crt", ".cer")
 KEY_MATERIAL, KEY_STORES = ("privatekey", "masterkey", "encryptionkey"), ("pkcs11:", "arn:aws:kms:", "alias/")
 
-_WORD = re.compile(r"[^\W_]+")
-
-
-def identifier_words(name: str) -> list[str]:
-    """Lower-case words of an identifier: parted by what is neither letter nor digit, before a capital that
-    follows a small letter or a digit, and before the last capital of a run that a small letter follows."""
-    out = []
-    for run in _WORD.findall(name):
-        start = 0
-        for i in range(1, len(run)):
-            c, last = run[i], run[i - 1]
-            if c.isupper() and (last.islower() or last.isdigit() or (last.isupper() and run[i + 1 : i + 2].islower())):
-                out.append(run[start:i].lower())
-                start = i
-        out.append(run[start:].lower())
-    return out
+#: Where an identifier falls into words: at what is neither letter nor digit, and before a capital that starts a word.
+_WORD_EDGE = regex.compile(r"[\W_]+|(?<=[\p{Ll}\p{Nd}])(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})")
 
 
-def is_secret_key(name: str) -> bool:
-    words = identifier_words(name)
-    return bool(words) and ("".join(words) in SECRET_NAMES or words[-1] in SECRET_LAST or (len(words) > 1 and "".join(words[-2:]) in SECRET_LAST_TWO))
+@functools.lru_cache(4096)
+def key_words(name: str) -> tuple[str, ...]:
+    return tuple(word.lower() for word in _WORD_EDGE.split(name) if word)
 
 
-def is_version(value: str) -> bool:
-    parts = re.split(r"[-+]", value.lstrip("vV^~<>= "), maxsplit=1)[0].split(".")
-    return len(parts) > 1 and all(p and all(c.isdigit() or c in "xX*" for c in p) for p in parts)
+def is_secret_key(name: str) -> bool:
+    """Whether a field of this name holds a credential: by all its words, its last one or its last two."""
+    words = key_words(name)
+    ends = {"".join(words[-n:]) for n in (1, 2) if n <= len(words)}
+    return "".join(words) in SECRET_NAMES or bool(ends & SECRET_LAST_TWO and len(words) > 1) or bool(words) and words[-1] in SECRET_LAST
 
 
-def is_reference(value: str) -> bool:
-    low = value.lower()
-    if any(value.startswith(a) and value.endswith(b) for a, b in (("${", "}"), ("{{", "}}"), ("%", "%"), ("$(", ")"))):
-        return True
-    if re.fullmatch(r"\$[\w:]+|<[\w -]+>|\*[\w-]+", value) or low.startswith(REFERENCES + FILES):
-        return True
-    return bool(re.match(r"[a-z]:[/\\]", low)) or (bool(re.search(r"[/\\]", low)) and low.endswith(KEY_FILES))
+_CLASSES = regex.compile(r"(?P<letter>\p{L})|(?P<digit>\p{Nd})|(?P<space>\s)|(?P<symbol>.)", regex.S)
 
 
-def is_plausible(value: str) -> bool:
-    """Not prose, not repetitive, not a plain word."""
-    letters = sum(c.isalpha() for c in value)
-    digit = any(c.isdigit() for c in value)
-    space = any(c.isspace() for c in value)
-    symbol = any(not (c.isalpha() or c.isdigit() or c.isspace()) for c in value)
-    data = value.encode("utf-8", "surrogatepass")
-    if space and not digit and not symbol:
-        return False
-    if len(data) >= 8 and values.entropy(data) < 2.5:
-        return False
-    return not (letters >= 8 and not digit and not symbol and reads_like_words(data))
+class Shape(NamedTuple):
+    """What the rules look at in a value."""
+
+    key: str
+    text: str
+    low: str
+    data: bytes
+    letters: int
+    digits: int
+    spaces: int
+    symbols: int
+
+
+def shape_of(key: str, value: str) -> Shape:
+    text = value.strip()
+    seen = Counter(m.lastgroup for m in _CLASSES.finditer(text[:STRING_BYTES]))
+    return Shape(key, text, text.lower(), text.encode("utf-8", "surrogatepass"), seen["letter"], seen["digit"], seen["space"], seen["symbol"])
+
+
+_VERSION = regex.compile(r"[vV^~<>= ]*(?:[\p{Nd}xX*]+\.)+[\p{Nd}xX*]+(?:[-+].*)?", regex.S)
+_NAMED = regex.compile(r"\$[\w:]+|<[\w -]+>|\*[\w-]+|\$\{.*\}|\{\{.*\}\}|%.*%|\$\(.*\)", regex.S)
+_ON_DRIVE, _WITH_FOLDER = re.compile(r"[a-z]:[/\\]"), re.compile(r"[/\\]")
+
+#: Each rule tells one kind of value that is no credential, though a field's name says so.
+NO_CREDENTIAL: dict[str, Callable[[Shape], object]] = {
+    "too short or too long": lambda v: not SHORTEST <= len(v.data) <= STRING_BYTES,
+    "a filler": lambda v: v.low in NO_SECRETS,
+    "one byte all over": lambda v: len(set(v.data)) < 2,
+    "the name of a variable": lambda v: is_variable_name(v.data),
+    "a version": lambda v: _VERSION.fullmatch(v.text),
+    "a reference": lambda v: _NAMED.fullmatch(v.text) or v.low.startswith(REFERENCES),
+    "a file": lambda v: v.low.startswith(FILES) or _ON_DRIVE.match(v.low) or (v.low.endswith(KEY_FILES) and _WITH_FOLDER.search(v.low)),
+    "a key that is kept elsewhere": lambda v: v.low.startswith(KEY_STORES) and "".join(key_words(v.key)) in KEY_MATERIAL,
+    "prose": lambda v: v.spaces and not v.digits + v.symbols,
+    "little variety": lambda v: len(v.data) >= 8 and values.entropy(v.data) < 2.5,
+    "a plain word": lambda v: v.letters >= 8 and not v.digits + v.symbols and reads_like_words(v.data),
+}
 
 
 def is_secret_value(key: str, value: str) -> bool:
-    value = value.strip()
-    data = value.encode("utf-8", "surrogatepass")
-    if not SHORTEST <= len(data) <= STRING_BYTES or value.lower() in NO_SECRETS or is_degenerate(data) or is_bare_reference(data):
-        return False
-    if is_version(value) or is_reference(value):
-        return False
-    if "".join(identifier_words(key)) in KEY_MATERIAL and value.lower().startswith(KEY_STORES):
-        return False
-    return is_plausible(value)
+    shape = shape_of(key, value)
+    return not any(rule(shape) for rule in NO_CREDENTIAL.values())
 
 
 def shown_path(path: tuple[str, ...]) -> str:
@@ -187,7 +191,6 @@ def _child(path: list[list]) -> tuple[str, ...]:
 # Lines: dotenv, TOML, YAML
 
 
-
 def _is_plain_key(text: str) -> bool:
     return bool(text) and all(c.isalpha() or c.isdigit() or c in "_-." for c in text)
 

@@ -3,12 +3,16 @@ meaning of a provider's answer. Nothing here sends anything; a live probe is a f
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from lodesift.operators import providers
+from lodesift.operators.findings import free_names
 from lodesift.operators.registry import BUILT_IN
 
 #: Detectors whose values need an origin or a companion that the user tells, that are only checked
@@ -16,19 +20,7 @@ from lodesift.operators.registry import BUILT_IN
 REQUIRES_CONTEXT = ("auth0-management-token", "datadog-api-key", "github-oauth-token", "github-token", "gitlab-pat", "grafana-api-key", "shopify-access-token", "snyk-api-key", "twilio-api-key")
 FORMAT_ONLY = ("azure-entra-secret", "azure-storage-key", "coinbase-api-key", "gcp-service-account", "rabbitmq-connection-string", "snowflake-credentials")
 NEVER = ("database-connection-string", "discord-webhook-url", "ftp-credentials", "generic-api-key", "hashicorp-vault-token", "jwt", "ldap-credentials", "private-key", "redis-connection-string", "slack-webhook", "structured-config-secret")
-#: Answers that tell an active and an inactive value, where they aren't 200 and 401.
-ANSWERS = {
-    "datadog-api-key": ((200,), (403,)),
-    "figma-pat": ((200,), (403,)),
-    "infura-api-key": ((200,), (401, 403)),
-    "pypi-api-token": ((405,), (401, 403)),
-    "slack-token": ((200,), ()),
-    "stripe-api-key-live": ((200, 403), (401,)),
-    "stripe-api-key-test": ((200, 403), (401,)),
-    "teams-webhook": ((400,), (404,)),
-    "vercel-token": ((200,), (401, 403)),
-}
-UNVERIFIED, ACTIVE, INACTIVE, ERROR = "unverified", "verified_active", "verified_inactive", "verify_error"
+UNVERIFIED = providers.UNVERIFIED
 
 
 def kind(detector_id: str) -> str:
@@ -49,17 +41,16 @@ def with_capability(found: DataFrame) -> DataFrame:
     return found.join(F.broadcast(capabilities(found.sparkSession).select("detector_id", "kind")), "detector_id", "left").fillna("none", ["kind"])
 
 
-def status_of_answer(detector_id: Column, code: Column) -> Column:
-    """What a provider's status code says of a value. A code that is neither of an active nor of an inactive value,
-    or no answer, is an error; detectors that can't be probed stay unverified."""
-    out = F.when(detector_id.isin(*FORMAT_ONLY, *NEVER), F.lit(UNVERIFIED))
-    for id, (active, inactive) in ANSWERS.items():
-        own = detector_id == id
-        out = out.when(own & code.isin(*active), F.lit(ACTIVE))
-        if inactive:
-            out = out.when(own & code.isin(*inactive), F.lit(INACTIVE))
-    usual = ~detector_id.isin(*ANSWERS)
-    return out.when(usual & (code == 200), F.lit(ACTIVE)).when(usual & (code == 401), F.lit(INACTIVE)).otherwise(F.lit(ERROR))
+@F.pandas_udf(StringType())
+def _judged(detector_id: pd.Series, code: pd.Series, body: pd.Series, content_type: pd.Series) -> pd.Series:
+    rows = zip(detector_id, code, body, content_type, strict=True)
+    return pd.Series([providers.judged(d, None if pd.isna(c) else int(c), (b or "").encode(), k or "") for d, c, b, k in rows], dtype="object")
+
+
+def status_of_answer(detector_id: Column, code: Column, body: Column, content_type: Column) -> Column:
+    """What a provider's answer says of a value, of recorded answers: status code, body as text, media type. A null
+    code is no answer. Detectors that can't be asked for stay unverified."""
+    return _judged(detector_id, code.cast("int"), body, content_type)
 
 
 def well_formed(detector_id: Column, raw: Column, raw_v2: Column) -> Column:
@@ -80,22 +71,31 @@ def well_formed(detector_id: Column, raw: Column, raw_v2: Column) -> Column:
     )
 
 
-def verified(found: DataFrame, probe: Callable[[str, bytes, bytes | None], int | None], tasks: int = 4) -> DataFrame:
-    """found (with raw and raw_v2) and a status: each distinct value of a detector that can be probed is sent once,
-    by as many tasks at a time, and all findings of it get its answer. probe: (detector_id, raw, raw_v2) to the
-    status code, None if there was no answer. raw and raw_v2 are dropped."""
-    keyed = with_capability(found).withColumn("__key", F.sha2(F.concat_ws("\x00", "detector_id", F.hex("raw"), F.coalesce(F.hex("raw_v2"), F.lit(""))), 256))
-    distinct = keyed.where(F.col("kind").isin("live", "requires_context")).dropDuplicates(["__key"]).select("__key", "detector_id", "raw", "raw_v2").repartition(tasks, "__key")
+def verified(found: DataFrame, transport: providers.Transport, tasks: int = 4, rate: float = 10.0, origins: Mapping[str, str] | None = None) -> DataFrame:
+    """found (with raw, raw_v2 and extra) and a status: each distinct value of a detector that has a provider is asked for
+    once, and all findings of it get the answer. transport sends a request and returns the answer. At most `rate`
+    requests a second are sent in all and for each detector, each of the tasks having its share. origins: for
+    detectors whose providers run at addresses of the user's own. raw and raw_v2 are dropped.
+
+    The findings are scanned once: those of a value come to one task, in order, so no join is needed. A task holds
+    one answer at a time."""
+    trusted = {d: providers.trusted_origin(o) for d, o in (origins or {}).items()}
+    columns = [c for c in found.columns if c not in ("raw", "raw_v2")]
+    key, raw, second = free_names(found, "key", "raw", "raw_v2")[0], "raw", "raw_v2"
+    mark = F.sha2(F.concat_ws("\x00", "detector_id", F.hex(raw), F.coalesce(F.hex(second), F.lit(""))), 256)
+    dealt = found.withColumn(key, mark).repartition(tasks, key).sortWithinPartitions(key).select(*columns, key, raw, second)
 
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limiter, last, status = providers.Limiter(rate / tasks), None, UNVERIFIED
         for batch in batches:
-            codes = []
-            for id, raw, second in zip(batch["detector_id"], batch["raw"], batch["raw_v2"], strict=True):
-                try:
-                    codes.append(probe(id, bytes(raw), None if second is None else bytes(second)))
-                except Exception:  # whatever a probe raises may quote the secret
-                    codes.append(None)
-            yield pd.DataFrame({"__key": batch["__key"], "detector_id": batch["detector_id"], "code": pd.array(codes, dtype="Int32")})
-
-    answers = distinct.mapInPandas(send, "__key string, detector_id string, code int").select("__key", status_of_answer(F.col("detector_id"), F.col("code")).alias("status"))
-    return keyed.join(answers, "__key", "left").fillna(UNVERIFIED, ["status"]).drop("__key", "kind", "raw", "raw_v2")
+            at = batch.schema.get_field_index
+            told = []
+            for own, id, value, other, extra in zip(*[batch.column(at(c)).to_pylist() for c in (key, "detector_id", raw, second)], batch.column(at("extra")).to_pylist() if at("extra") >= 0 else [None] * batch.num_rows, strict=True):
+                if own != last:
+                    context = dict(extra or ()) | ({"raw_v2": other.decode("utf-8", "replace")} if other else {})
+                    last, status = own, providers.ask(id, (value or b"").decode("utf-8", "replace"), context, transport, limiter, trusted.get(id))
+                told.append(status)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(told, pa.string())], names=[*columns, "status"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema[: len(columns)])
+    return dealt.mapInArrow(send, f"{schema}, status string")

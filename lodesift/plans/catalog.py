@@ -5,9 +5,11 @@ whose values are derived from its id; what its own text holds is found alike."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodesift.functions import columns
@@ -15,9 +17,10 @@ from lodesift.functions.globs import covers, ignore_column, parse_ignore
 from lodesift.operators import findings, paths, verification
 from lodesift.operators.registry import BUILT_IN
 from lodesift.operators.scan import ScanOptions, scan
+from lodesift.plans import samples
 from lodesift.sinks import reports
 from lodesift.sources import chat, history
-from lodesift.sources.files import texts
+from lodesift.sources.files import files, texts
 
 #: What is planted: the start of a value, and how many hex digits follow it.
 PLANTED = {
@@ -129,9 +132,57 @@ def capability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def http_status_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = spark.createDataFrame([(c,) for c in (200, 301, 400, 401, 403, 404, 405, 429, 500)], "code int")
-    pairs = verification.capabilities(spark).select("detector_id").join(F.broadcast(codes), F.lit(True))
-    return pairs.withColumn("status", verification.status_of_answer(F.col("detector_id"), F.col("code"))).groupBy("code", "status").agg(F.count(F.lit(1)).alias("detectors"))
+    """What recorded answers of providers say."""
+    rows = [(k, d, code, body, media) for k, (d, code, body, media, _) in enumerate(samples.ANSWERS)]
+    recorded = spark.createDataFrame(rows, "answer int, detector_id string, code int, body string, media string")
+    return recorded.select("answer", "detector_id", "code", verification.status_of_answer(F.col("detector_id"), F.col("code"), F.col("body"), F.col("media")).alias("status"))
+
+
+def detector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finding of a detector in what it is to find, and none in what it is to pass over: each document stands for a
+    sample, in turn, and all detectors scan it."""
+    known = spark.createDataFrame([(k, x.detector_id, x.text) for k, x in enumerate(samples.SAMPLES)], "sample int, wanted string, data string")
+    docs = _documents(spark, sf_dir).select("doc_id", F.pmod("doc_id", F.lit(len(samples.SAMPLES))).cast("int").alias("sample"))
+    chunks = docs.join(F.broadcast(known), "sample").withColumn("path", F.concat(F.lit("sample/"), F.col("doc_id").cast("string")))  # a fixed list
+    found = scan(chunks, path_col="path", keep=("doc_id", "sample", "wanted"))
+    return found.where("detector_id = wanted").select("doc_id", "sample", "detector_id", "byte_start", "byte_end", "line")
+
+
+def scan_all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir).withColumn("entropy", F.round("entropy", 6))
+
+
+def hidden_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the files that a scan opens, of a tree with a file for each nation, hidden ones among them."""
+    root = _tree([r["n_nationkey"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").collect()])  # 25 rows
+    found = files(spark, root, globs=("skip/*",))
+    return found.select("file_path", F.length("data").cast("long").alias("n_bytes"))
+
+
+#: Where a file of such a tree stands, in turn.
+PLACES = (".env", ".aws/credentials", "_x.yml", ".git/config", "sub/.hidden/a.txt", "_cfg/b c.txt", "plain.txt", "skip/me.txt", "go.sum", "x.PNG")
+
+
+def _tree(keys: list[int]) -> str:
+    root = tempfile.mkdtemp(prefix="lodesift-tree-")
+    for k in keys:
+        path = os.path.join(root, str(k), PLACES[k % len(PLACES)]) if k % len(PLACES) != 7 else os.path.join(root, "skip", f"{k}.txt")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w") as f:
+            f.write("x" * (k + 1))
+    return root
+
+
+def history_since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as a history in which every fifth clock runs behind: what a walk from the last one meets before the
+    order in the middle."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"))
+    placed = orders.withColumn("n", F.row_number().over(Window.orderBy("key")))
+    hashed = lambda n: F.md5(F.concat(F.lit("h"), n.cast("string")))
+    skewed = F.col("n") * 60 - F.when(F.col("n") % 5 == 0, 200).otherwise(0)
+    commits = placed.select(F.col("n"), hashed(F.col("n")).alias("commit"), F.when(F.col("n") > 1, hashed(F.col("n") - 1)).alias("parent"), F.timestamp_seconds(F.lit(1_600_000_000) + skewed).alias("ts"))
+    middle = hashed(F.lit(placed.count() // 2))
+    return history.walked(commits, spark.range(1).select(middle).first()[0]).select(F.col("n").cast("long").alias("n"), "commit")
 
 
 def _lower(text: Column) -> Column:
@@ -215,19 +266,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         scan_planted, severity_summary, severity_floor, findings_order, sarif_rule_index, sarif_results, github_annotations, csv_report, verification_keys,
         finding_kinds, capability_counts, http_status_mapping, prefilter_selectivity, glob_filter, ignore_rules, skip_files, url_entropy, inline_markers,
-        history_chunks, chat_messages,
+        history_chunks, chat_messages, scan_all_detectors, detector_samples, hidden_files, history_since,
     )
-} | {"scan_all_detectors": flagship}
+}
 
 _DIM = "dim(detector_id, kind) AS (VALUES " + ", ".join(f"('{d}', '{verification.kind(d)}')" for d in BUILT_IN) + ")"
 _LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'warning' ELSE '{}' END"
 _PAGES = r"WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([^?]*)', 1) AS path, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages) "
-_ANSWERS = " ".join(
-    f"WHEN detector_id = '{d}' AND code IN ({', '.join(map(str, codes))}) THEN '{status}'"
-    for d, both in verification.ANSWERS.items()
-    for codes, status in zip(both, ("verified_active", "verified_inactive"), strict=True)
-    if codes
-)
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_RECORDED = ", ".join(f"({k}, {_QUOTED(d)}, {code}, {_QUOTED(status)})" for k, (d, code, _, _, status) in enumerate(samples.ANSWERS))
+_WANTED = ", ".join(f"({k}, {_QUOTED(x.detector_id)}, {start}, {end}, {line})" for k, x in enumerate(samples.SAMPLES) for start, end, line in x.spans)
 
 ORACLE_SQL: dict[str, str] = {
     "history_chunks": "SELECT max(doc_id) AS doc_id, md5('c' || max(doc_id)) AS commit, 'src/' || substr(md5(text), 1, 1) || '.txt' AS file_path, 1600000000 + max(doc_id) * 60 AS committed, max(strlen(text))::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL AND strlen(text) <= 10485760 GROUP BY text",
@@ -237,13 +285,17 @@ ORACLE_SQL: dict[str, str] = {
     "severity_floor": _FOUND + "SELECT detector_id, count(*) AS findings FROM found WHERE severity = 'critical' GROUP BY 1",
     "findings_order": _FOUND + "SELECT file_path, line, detector_id, redacted, id FROM found ORDER BY 1, 2, 3, 4, 5",
     "sarif_rule_index": _FOUND + "SELECT detector_id, severity, (row_number() OVER (ORDER BY file_path, line, detector_id, redacted, id) - 1)::INTEGER AS rule_index FROM (SELECT *, row_number() OVER (PARTITION BY detector_id ORDER BY file_path, line, detector_id, redacted, id) AS n FROM found) WHERE n = 1",
-    "sarif_results": _FOUND + f"SELECT detector_id AS rule_id, {_LEVEL.format('note')} AS level, 'Secret found: ' || redacted AS message, substr(sha256(detector_id || chr(0) || redacted || chr(0) || file_path), 1, 32) AS fingerprint, file_path AS uri, line AS start_line FROM found",
-    "github_annotations": _FOUND + f"SELECT '::' || {_LEVEL.format('notice')} || ' file=' || file_path || ',line=' || line || ',title=lodesift%3A ' || detector_id || '::Potential secret detected by ' || detector_id || ' (' || severity || '): ' || redacted AS command FROM found",
+    "sarif_results": _FOUND + f"SELECT detector_id AS rule_id, {_LEVEL.format('note')} AS level, detector_id || ' matches ' || redacted AS message, substr(sha256(detector_id || chr(0) || redacted || chr(0) || file_path), 1, 32) AS fingerprint, file_path AS uri, line AS start_line FROM found",
+    "github_annotations": _FOUND + f"SELECT '::' || {_LEVEL.format('notice')} || ' file=' || file_path || ',line=' || line || ',title=lodesift%3A ' || detector_id || '::' || severity || ' finding ' || redacted || ' of ' || detector_id AS command FROM found",
     "csv_report": _FOUND + "SELECT id, detector_id, severity, redacted, file_path, line::VARCHAR AS line, 'unverified' AS verification_status FROM found",
     "verification_keys": _FOUND + "SELECT detector_id, count(*) AS findings, count(DISTINCT raw) AS distinct_values FROM found GROUP BY 1",
     "finding_kinds": _FOUND.rstrip() + f", {_DIM} SELECT kind, count(*) AS findings FROM found JOIN dim USING (detector_id) GROUP BY 1",
-    "capability_counts": f"WITH {_DIM} SELECT kind, count(*) AS detectors FROM dim GROUP BY 1",
-    "http_status_mapping": f"WITH {_DIM}, codes(code) AS (VALUES (200), (301), (400), (401), (403), (404), (405), (429), (500)), s AS (SELECT code, CASE WHEN kind IN ('none', 'format_only') THEN 'unverified' {_ANSWERS} WHEN detector_id IN ({', '.join(repr(d) for d in verification.ANSWERS)}) THEN 'verify_error' WHEN code = 200 THEN 'verified_active' WHEN code = 401 THEN 'verified_inactive' ELSE 'verify_error' END AS status FROM dim, codes) SELECT code, status, count(*) AS detectors FROM s GROUP BY 1, 2",
+    "http_status_mapping": f"SELECT * FROM (VALUES {_RECORDED}) t(answer, detector_id, code, status)",
+    "detector_samples": f"SELECT doc_id, sample, detector_id, byte_start::BIGINT AS byte_start, byte_end::BIGINT AS byte_end, line FROM documents JOIN (VALUES {_WANTED}) t(sample, detector_id, byte_start, byte_end, line) ON doc_id % {len(samples.SAMPLES)} = sample",
+    "scan_all_detectors": _FOUND + "SELECT doc_id, file_path, detector_id, severity, redacted, line, byte_start, byte_end, round(list_aggregate(string_split(raw, ''), 'entropy'), 6) AS entropy, id FROM found",
+    "hidden_files": "WITH t AS (SELECT n_nationkey AS k, ['.env', '.aws/credentials', '_x.yml', '', 'sub/.hidden/a.txt', '_cfg/b c.txt', 'plain.txt', '', '', ''][n_nationkey % 10 + 1] AS place FROM nation) SELECT k || '/' || place AS file_path, (k + 1)::BIGINT AS n_bytes FROM t WHERE place <> ''",
+    "history_since": "WITH n AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () AS m FROM orders) SELECT n, md5('h' || n) AS commit FROM n WHERE n > m // 2",
+    "capability_counts": "SELECT * FROM (VALUES ('live', 39::BIGINT), ('requires_context', 9), ('format_only', 6), ('none', 11)) t(kind, detectors)",
     "prefilter_selectivity": _prefilter_sql(),
     "glob_filter": _PAGES + r"SELECT page_id, regexp_matches(host, '^[^/]*\.example\.org$') AS by_host, regexp_matches(path, '^en/[0-4][^/]*$') OR regexp_matches(path, '^fr/[^/]$') AS by_path FROM p",
     "ignore_rules": _PAGES + r"SELECT page_id, CASE WHEN regexp_matches(path, '(^|/)de/+[^/]') THEN true WHEN regexp_matches(path, '^([^/]+/)*[^/]*\.tmp$') THEN true WHEN regexp_matches(path, '^es/1[^/]*$') THEN false WHEN regexp_matches(path, '^es(/|$)') THEN true ELSE false END AS ignored FROM p",

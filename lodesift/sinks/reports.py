@@ -32,9 +32,9 @@ def csv_rows(found: DataFrame) -> DataFrame:
 def annotations(found: DataFrame) -> DataFrame:
     """(command): a workflow command for each finding, with redacted values only."""
     status = F.coalesce(optional(found, "status"), F.lit("unverified"))
-    told = F.when(status == "verified_active", " — verified ACTIVE; rotate this credential immediately").when(status == "verified_inactive", " — verified inactive").otherwise("")
-    shown = F.when(F.length("redacted") > 0, F.concat(F.lit(": "), F.col("redacted"))).otherwise("")
-    message = F.concat(F.lit("Potential secret detected by "), F.col("detector_id"), F.lit(" ("), F.col("severity"), F.lit(")"), shown, told)
+    told = F.when(status == "verified_active", "; its provider accepts it, so revoke it now").when(status == "verified_inactive", "; its provider no longer accepts it").otherwise("")
+    shown = F.when(F.length("redacted") > 0, F.concat(F.lit(" "), F.col("redacted"))).otherwise("")
+    message = F.concat(F.col("severity"), F.lit(" finding"), shown, F.lit(" of "), F.col("detector_id"), told)
     line = F.when(F.col("line") > 0, F.concat(F.lit(",line="), F.col("line").cast("string"))).otherwise("")
     place = F.when(F.length("file_path") > 0, F.concat(F.lit("file="), escape_command(F.col("file_path"), True), line, F.lit(","))).otherwise("")
     how = F.when(status == "verified_active", "error").otherwise(level(F.col("severity"), "notice"))
@@ -45,10 +45,11 @@ def annotations(found: DataFrame) -> DataFrame:
 def sarif_results(found: DataFrame) -> DataFrame:
     """(rule_id, rule_index, level, message, fingerprint, uri, start_line) of SARIF's results. The fingerprint
     doesn't tell the line, so that it stays when the value moves within its file. Rules are a row for each detector."""
+    found = found.persist()  # read twice below; it holds no values
     print_of = F.substring(F.sha2(F.concat(F.col("detector_id"), F.lit("\x00"), F.col("redacted"), F.lit("\x00"), F.coalesce("file_path", F.lit(""))), 256), 1, 32)
     rules = F.broadcast(rule_index(found).select("detector_id", "rule_index"))
     return found.join(rules, "detector_id").select(
-        F.col("detector_id").alias("rule_id"), "rule_index", level(F.col("severity"), "note").alias("level"), F.concat(F.lit("Secret found: "), F.col("redacted")).alias("message"),
+        F.col("detector_id").alias("rule_id"), "rule_index", level(F.col("severity"), "note").alias("level"), F.concat(F.col("detector_id"), F.lit(" matches "), F.col("redacted")).alias("message"),
         print_of.alias("fingerprint"), F.col("file_path").alias("uri"), F.when(F.col("line") > 0, F.col("line")).alias("start_line"),
     )
 

@@ -1,14 +1,16 @@
 """Repository history as chunks, from three exported tables.
 
-commits: (commit, parent, ts, and optionally author, email, branch), the commits of one branch, parent being the
-first parent or null. changes: (commit, path, blob, op), each against the first parent, op D for a deletion.
+commits: (commit, parent, ts, and optionally repository, parents, author, email, branch), parent being the first
+parent or null. changes: (commit, path, blob, op), each against the first parent, op D for a deletion.
 blobs: (blob, data). All of it is joins and aggregations; texts meet the plan only after repeated blobs are gone."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +39,53 @@ def changed(trees: DataFrame, commits: DataFrame) -> DataFrame:
     return both.select("commit", "path", "blob", F.when(F.col("was").isNull(), "A").otherwise("M").alias("op"))
 
 
+WALKED = "repository string, commit string, place long, reached boolean"
+
+
+def _walk(graph: pd.DataFrame, since: str | None) -> pd.DataFrame:
+    """graph: repository, commit, parents, seconds of one repository. Commits in the order in which a walk from the heads
+    meets them, the latest known first, up to a boundary, which is left out; reached tells whether it was met."""
+    parents = dict(zip(graph["commit"], graph["parents"], strict=True))
+    at = dict(zip(graph["commit"], graph["seconds"], strict=True))
+    of_some = {p for own in parents.values() for p in own}
+    latest = max((c for c in parents if c not in of_some), key=lambda c: (at[c], c), default=None)
+    queue = [] if latest is None else [(-at[latest], latest)]
+    seen, out, reached = {latest}, [], False
+    while queue:
+        _, commit = heapq.heappop(queue)
+        if commit == since:
+            reached = True
+            break
+        out.append(commit)
+        for parent in parents[commit]:
+            if parent in at and parent not in seen:
+                seen.add(parent)
+                heapq.heappush(queue, (-at[parent], parent))
+    rows = out or [None]
+    return pd.DataFrame({"repository": graph["repository"].iloc[0], "commit": rows, "place": range(len(rows)), "reached": reached})
+
+
+def walk(commits: DataFrame, since_commit: str | None = None) -> DataFrame:
+    """(repository, commit, place, reached): the commits that a walk from each repository's latest head meets, before it
+    meets the boundary. Repositories are walked by a task each, from the graph alone: hashes and times. Parents are
+    those of a column `parents` (array), or `parent`; without a column `repository` there is one."""
+    parents = F.coalesce("parents", F.array().cast("array<string>")) if "parents" in commits.columns else F.when(F.col("parent").isNull(), F.array().cast("array<string>")).otherwise(F.array("parent"))
+    repository = F.col("repository") if "repository" in commits.columns else F.lit("")
+    graph = commits.select(repository.alias("repository"), "commit", parents.alias("parents"), F.unix_micros("ts").alias("seconds"))
+    return graph.groupBy("repository").applyInPandas(lambda g: _walk(g, since_commit), WALKED)
+
+
 def walked(commits: DataFrame, since_commit: str | None = None, since: datetime | None = None) -> DataFrame:
-    """commits after a boundary, which is left out with all older ones, and from a time on. Commits of one time
-    stand by their hash. A boundary that isn't among the commits is an error."""
+    """commits that come before a boundary in a walk by ancestry, and those from a time on. A boundary that isn't among
+    the commits, or that no walk meets, is an error: it is no ancestor, so nothing can be told to come after it."""
     kept = commits
     if since_commit is not None:
-        edge = commits.where(F.col("commit") == resolve(commits, since_commit)).select("ts", "commit").first()
-        kept = kept.where((F.col("ts") > F.lit(edge["ts"])) | ((F.col("ts") == F.lit(edge["ts"])) & (F.col("commit") > edge["commit"])))
+        edge = resolve(commits, since_commit)
+        met = walk(commits, edge)
+        if not met.agg(F.max("reached")).first()[0]:
+            raise ValueError(f"{edge} is no ancestor of the latest commit")
+        on = ["repository", "commit"] if "repository" in commits.columns else ["commit"]
+        kept = kept.join(met.where("reached and commit is not null").select(*on), on, "left_semi")
     return kept if since is None else kept.where(F.col("ts") >= F.lit(since))
 
 
@@ -51,9 +93,9 @@ def first_blobs(commits: DataFrame, changes: DataFrame, globs: Iterable[str] = (
     """(commit, file_path, blob, and the other columns of commits): each blob at each path once, at the newest of its
     commits. Deletions, lock files and paths that a glob covers are left out. The newest is an aggregate that
     combines before its exchange, so a blob that very many commits carry costs no more than others."""
-    own = [c for c in commits.columns if c not in ("ts", "commit", "parent")]
+    own = [c for c in commits.columns if c not in ("ts", "commit", "parent", "parents")]
     kept = changes.where((F.col("op") != "D") & ~paths.lock_file(F.col("path")) & ~covers(F.col("path"), globs))
-    newest = kept.join(commits, "commit").groupBy("blob", F.col("path").alias("file_path")).agg(F.max(F.struct("ts", "commit", *own)).alias("c"))
+    newest = kept.join(commits, "commit").groupBy("blob", F.col("path").alias("file_path")).agg(F.max(F.struct("ts", "commit")).alias("newest"), F.max_by(F.struct("ts", "commit", *own), F.struct("ts", "commit")).alias("c"))
     return newest.select("c.commit", "file_path", "blob", F.col("c.ts").alias("date"), *[F.col(f"c.{c}") for c in own])
 
 

@@ -36,6 +36,18 @@ def test_history_from_a_commit_or_time_on(spark):
         history.resolve(commits.unionByName(commits.withColumn("commit", F.concat(F.lit("abab"), F.substring("commit", 5, 36)))), "abab")
 
 
+def test_history_follows_ancestry(spark):
+    """c2 is the boundary; c3, its child, has an older clock; d is on another branch that c4 merges; e is older than c2."""
+    day = lambda d: datetime(2024, 1, d)
+    rows = [("c1" * 20, [], day(1)), ("c2" * 20, ["c1" * 20], day(9)), ("c3" * 20, ["c2" * 20], day(5)), ("d0" * 20, ["c1" * 20], day(10)), ("e0" * 20, ["c1" * 20], day(2)), ("c4" * 20, ["c3" * 20, "d0" * 20, "e0" * 20], day(11)), ("ab" * 20, [], day(3))]
+    commits = spark.createDataFrame(rows, "commit string, parents array<string>, ts timestamp")
+    got = lambda since: {r.commit[:2] for r in history.walked(commits, since).collect()}
+    assert got("c2" * 20) == {"c4", "d0", "c3"}
+    assert got("c4" * 20) == set()
+    with pytest.raises(ValueError, match="no ancestor"):
+        history.walked(commits, "ab" * 20)
+
+
 def test_changes_are_against_the_first_parent(spark):
     commits, _, _ = _history(spark)
     trees = spark.createDataFrame([(A, "a", "1"), (B, "a", "1"), (B, "b", "2"), (C, "a", "3")], "commit string, path string, blob string")
