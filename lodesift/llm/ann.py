@@ -9,6 +9,8 @@ of every shard; what the beams find is scored exactly, in double precision, and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,15 +30,18 @@ BLOCK = 65_536
 #: Nodes that a search expands at once, and searches that run at once.
 WIDE = 4
 AT_ONCE = 256
+#: Of the longest vectors, so many are starts of searches.
+STARTS = 31
 
 
 class Graph:
-    """nodes: n x d float32; out: n x DEGREE int32, -1 where there is no edge."""
+    """nodes: n x d float32; out: n x DEGREE int32 (more once all are reachable), -1 where there is no edge; starts:
+    where searches begin."""
 
-    def __init__(self, nodes: np.ndarray, out: np.ndarray | None = None, start: int | None = None):
+    def __init__(self, nodes: np.ndarray, out: np.ndarray | None = None, starts: np.ndarray | None = None):
         self.nodes = nodes
         self.out = np.full((len(nodes), DEGREE), -1, np.int32) if out is None else out
-        self.start = int(((nodes - nodes.mean(axis=0)) ** 2).sum(axis=1).argmin()) if start is None else start
+        self.starts = np.array([((nodes - nodes.mean(axis=0)) ** 2).sum(axis=1).argmin()], np.int32) if starts is None else starts
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The nodes that greedy searches hold in the end, nearest first, and their squared distances; -1 and
@@ -46,8 +51,12 @@ class Graph:
         far = np.full((m, beam), np.inf, np.float32)
         done = np.ones((m, beam), bool)
         seen = np.zeros((m, len(self.nodes)), bool)
-        ids[:, 0], seen[:, self.start], done[:, 0] = self.start, True, False
-        far[:, 0] = ((queries - self.nodes[self.start]) ** 2).sum(axis=1)
+        s = self.starts[:beam]
+        ids[:, : len(s)], seen[:, s], done[:, : len(s)] = s, True, False
+        for j, start in enumerate(s.tolist()):
+            far[:, j] = ((queries - self.nodes[start]) ** 2).sum(axis=1)
+        order = np.argsort(far, axis=1, kind="stable")
+        ids, far, done = (np.take_along_axis(x, order, axis=1) for x in (ids, far, done))
         live = np.arange(m)
         while len(live):
             pick = np.argsort(done[live], axis=1, kind="stable")[:, :WIDE]
@@ -129,18 +138,47 @@ class Graph:
                 dup[:, 1:][dup[:, 1:] == dup[:, :-1]] = -1
                 self.out[t] = dup
 
+    def connect(self) -> None:
+        """Adds an edge to each node that no path from the start leads to, from the nearest that can be reached."""
+        while True:
+            seen = np.zeros(len(self.nodes), bool)
+            level = self.starts
+            while len(level):
+                seen[level] = True
+                level = np.unique(self.out[level])
+                level = level[level >= 0]
+                level = level[~seen[level]]
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                return
+            more: list[tuple[int, int]] = []
+            for lo in range(0, len(lost), AT_ONCE):
+                part = lost[lo : lo + AT_ONCE]
+                near, _ = self.search(self.nodes[part], 1)
+                more += zip(near[:, 0].tolist(), part.tolist(), strict=True)
+            src, dst = np.array(more, np.int64).T
+            order = np.argsort(src, kind="stable")
+            src, dst = src[order], dst[order]
+            nth = np.arange(len(src)) - np.searchsorted(src, src)
+            wide = np.full((len(self.nodes), int(nth.max()) + 1), -1, np.int32)
+            wide[src, nth] = dst
+            self.out = np.concatenate([self.out, wide], axis=1)
+
 
 def build(nodes: np.ndarray) -> Graph:
     """A graph over vectors with one more component that makes all lengths equal."""
     norm = (nodes.astype(np.float64) ** 2).sum(axis=1)
     graph = Graph(np.concatenate([nodes, np.sqrt(norm.max() - norm)[:, None]], axis=1).astype(np.float32))
     order = np.random.default_rng(len(nodes)).permutation(len(nodes)).astype(np.int64)
-    order = order[order != graph.start]
+    order = order[order != graph.starts[0]]
     at = 0
     while at < len(order):
         n = min(AT_ONCE, at + 1)
         graph.insert(order[at : at + n])
         at += n
+    graph.connect()
+    # products are large where vectors are long: searches begin at some of the longest as well
+    graph.starts = np.unique(np.append(graph.starts, np.argsort(-norm, kind="stable")[:STARTS])).astype(np.int32)
     return graph
 
 
@@ -160,18 +198,20 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id
     """(query_id, rank, vec_id, score): for each row that meets the SQL condition is_query over the id, the k
     rows of largest inner product found among all with another id, ties to the smaller id.
 
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-    part, nor do rows without an id. Equal vectors are one node whose ids all count; repeated rows with one id
-    and vector count once. With fewer candidates than k all are returned; an empty table gives no rows. The
-    index holds every row; the search is exhaustive in a shard of at most SEARCH_BEAM distinct vectors."""
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id.
+    Vectors are only compared with those of their own length. Equal vectors are one node whose ids all count;
+    repeated rows with one id and vector count once; where one id has several vectors, all are candidates for
+    others and the least of them, component by component, is the query. With fewer candidates than k all are
+    returned; an empty table gives no rows; other columns aren't read. The index holds every row."""
     chosen = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null and v is not null")
-    most = chosen.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    dim, total = (most["n"], most["count"]) if most and most["n"] > 0 else (1, 0)
-    usable = (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    usable = chosen.where(F.coalesce(usable, F.lit(False)))
-    shards = max(SHARDS, -(-total // SHARD))
+    usable = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
+    usable = chosen.where(F.coalesce(usable, F.lit(False))).withColumn("dim", F.size("v"))
+    shards = usable.groupBy("dim").agg(F.greatest(F.lit(SHARDS).cast("long"), F.ceil(F.count(F.lit(1)) / SHARD)).alias("shards"))
+    shards = materialize(shards, "shards")
+    usable = usable.join(shards, "dim")
 
     def fit(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
         ids, v = np.asarray(table["vec_id"]), _matrix(table["v"], dim)
         order = np.lexsort((ids,))
         ids, v = ids[order], v[order] + 0.0
@@ -181,50 +221,55 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id
         again = np.zeros(len(by), bool)
         again[1:] = (ids[by][1:] == ids[by][:-1]) & (back[by][1:] == back[by][:-1])
         by = by[~again]
-        return pa.table({"shard": [key[0].as_py()], "ids": [ids[by].tobytes()], "of": [back[by].astype(np.int32).tobytes()], "nodes": [v[first].tobytes()], "out": [graph.out.tobytes()], "start": [graph.start]})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [key[1].as_py()], "ids": [ids[by].tobytes()], "of": [back[by].astype(np.int32).tobytes()], "nodes": [v[first].tobytes()], "out": [graph.out.tobytes()], "starts": [graph.starts.astype(np.int32).tobytes()]})
 
-    index = usable.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))).groupBy("shard").applyInArrow(fit, "shard long, ids binary, of binary, nodes binary, out binary, start long")
+    index = usable.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards"))).groupBy("dim", "shard").applyInArrow(fit, "dim int, shard long, ids binary, of binary, nodes binary, out binary, starts binary")
     index = materialize(index, "graphs")
-    queries = usable.where(F.expr(is_query)).dropDuplicates(["vec_id"])
+    queries = usable.where(F.expr(is_query)).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "shards")).alias("q")).select("vec_id", "q.*")
     blocks = max(1, -(-queries.count() // BLOCK))
 
-    def find(key: tuple[pa.Scalar, ...], table: pa.Table, asked: pa.Table) -> pa.Table:
-        out = []
-        if table.num_rows and asked.num_rows:
-            row = {x: table[x][0].as_py() for x in ("ids", "of", "nodes", "out", "start")}
-            nodes = np.frombuffer(row["nodes"], np.float64).reshape(-1, dim)
-            ids, of = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["of"], np.int32)
-            norm = (nodes**2).sum(axis=1)
-            graph = Graph(np.concatenate([nodes, np.sqrt(norm.max() - norm)[:, None]], axis=1).astype(np.float32), np.frombuffer(row["out"], np.int32).reshape(-1, DEGREE), row["start"])
-            first = np.searchsorted(of, np.arange(len(nodes)))
-            count = np.diff(np.append(first, len(of)))
-            names, q = np.asarray(asked["vec_id"]), _matrix(asked["v"], dim)
-            for lo in range(0, len(names), AT_ONCE):
-                part, name = q[lo : lo + AT_ONCE], names[lo : lo + AT_ONCE]
-                if len(nodes) <= SEARCH_BEAM:
-                    hits = np.tile(np.arange(len(nodes), dtype=np.int32), (len(part), 1))
-                else:
-                    hits, _ = graph.search(np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32), SEARCH_BEAM)
-                r, c = np.nonzero(hits >= 0)
-                node = hits[r, c]
-                score = inner(part[r], nodes[node])
-                # of equal vectors the first k + 1 ids are enough
-                n = np.minimum(count[node], k + 1)
-                rep = np.repeat(np.arange(len(node)), n)
-                who = ids[first[node][rep] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                r, score = r[rep], score[rep]
-                other = who != name[r]
-                r, who, score = r[other], who[other], score[other]
-                order = np.lexsort((who, -score, r))
-                r, who, score = r[order], who[order], score[order]
-                nth = np.arange(len(r)) - np.searchsorted(r, r)
-                out.append((name[r[nth < k]], who[nth < k], score[nth < k]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
-
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks))).withColumn("shard", every(shards))
-    held = index.withColumn("block", every(blocks))
-    found = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(find, "query_id long, vec_id long, score double")
+    def packed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
+        return pa.table({"dim": pa.array([dim], pa.int32()), "block": [key[1].as_py()], "shards": [table["shards"][0].as_py()], "names": [np.asarray(table["vec_id"]).astype(np.int64).tobytes()], "q": [_matrix(table["v"], dim).tobytes()]})
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _found(row, k)
+
+    blocked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)))
+    blocked = blocked.groupBy("dim", "block").applyInArrow(packed, "dim int, block long, shards long, names binary, q binary")
+    # a block of queries is one row that meets each shard; no query is a row of its own there
+    asked = blocked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).drop("shards")
+    found = index.join(asked, ["dim", "shard"]).mapInArrow(find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(row: dict, k: int) -> Iterator[pa.RecordBatch]:
+    """What the beams of a block of queries find in one shard."""
+    dim = row["dim"]
+    nodes = np.frombuffer(row["nodes"], np.float64).reshape(-1, dim)
+    ids, of = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["of"], np.int32)
+    norm = (nodes**2).sum(axis=1)
+    graph = Graph(np.concatenate([nodes, np.sqrt(norm.max() - norm)[:, None]], axis=1).astype(np.float32), np.frombuffer(row["out"], np.int32).reshape(len(nodes), -1), np.frombuffer(row["starts"], np.int32))
+    first = np.searchsorted(of, np.arange(len(nodes)))
+    count = np.diff(np.append(first, len(of)))
+    names, q = np.frombuffer(row["names"], np.int64), np.frombuffer(row["q"], np.float64).reshape(-1, dim)
+    for lo in range(0, len(names), AT_ONCE):
+        part, name = q[lo : lo + AT_ONCE], names[lo : lo + AT_ONCE]
+        hits, _ = graph.search(np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32), SEARCH_BEAM)
+        r, c = np.nonzero(hits >= 0)
+        node = hits[r, c]
+        score = inner(part[r], nodes[node])
+        # of equal vectors the first k + 1 ids are enough
+        n = np.minimum(count[node], k + 1)
+        rep = np.repeat(np.arange(len(node)), n)
+        who = ids[first[node][rep] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        r, score = r[rep], score[rep]
+        other = who != name[r]
+        r, who, score = r[other], who[other], score[other]
+        order = np.lexsort((who, -score, r))
+        r, who, score = r[order], who[order], score[order]
+        nth = np.arange(len(r)) - np.searchsorted(r, r)
+        yield pa.RecordBatch.from_arrays([pa.array(x[nth < k]) for x in (name[r], who, score)], names=["query_id", "vec_id", "score"])

@@ -9,9 +9,9 @@ hash. A text falls into runs of successive strings with one anchor, a run being
 2. Runs at candidates, each distinct one of a group once, go to buckets by anchor. Runs at anchors that very
    many groups have are cut finer and dealt out by the bytes that all strings in the cut share, so that
    no bucket grows with the frequency of a line or passage.
-3. A bucket takes its runs in the order of documents, batch after batch. A batch gets a suffix array (its
-   strings of LENGTH bytes, sorted), which is merge-scanned against the levels that exist; what matches is
-   repeated. The rest becomes a level, and levels of a like size merge, so there is a logarithmic number.
+3. A bucket takes its runs in the order of documents, batch after batch. A batch gets a suffix array (the starts
+   of its strings of LENGTH bytes, sorted by these), which is merge-scanned against the levels that exist; what
+   matches is repeated. The rest becomes a level, and levels of a like size merge, so there is a logarithmic number.
 4. Repeated spans go back to the groups, where bytes are removed.
 """
 
@@ -37,11 +37,11 @@ CUT = 8
 CHUNK = 1 << 21
 #: Runs that are compared at once within a group.
 RUNS = 1 << 17
-#: Strings in a batch of a bucket.
-BATCH = 1 << 16
-#: Groups for each shuffle partition. There is one bucket for each, so that what a group tells a bucket is a row
-#: with many values rather than few.
-PER_PARTITION = 2
+#: Strings in the first batch of a bucket, and in any.
+BATCH, LARGEST_BATCH = 1 << 16, 1 << 22
+#: Groups for each shuffle partition, at least; there is one bucket for each, at least. So many bytes of text in a
+#: group, and of texts for each bucket, about; to be raised with the executors' memory.
+PER_PARTITION, GROUP_BYTES, BUCKET_BYTES = 2, 8 << 20, 32 << 20
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -127,26 +127,66 @@ def strings(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 class SuffixLevels:
-    """A logarithmic family of suffix arrays over strings of one length. Batches come in the order in which a
-    string counts as earlier."""
+    """A logarithmic family of suffix arrays over one text, of which the first `length` bytes of a suffix count. A level
+    holds starts of distinct strings, sorted by their bytes, and nothing else. Batches come in the order in which a
+    string counts as earlier. Bytes are compared eight at once, and only among strings that agree so far."""
 
-    def __init__(self, length: int = LENGTH):
+    def __init__(self, text: np.ndarray, length: int = LENGTH):
         self.length = length
-        self.levels: list[np.ndarray] = []  # sorted, distinct in all; the largest first
-
-    def add(self, batch: np.ndarray) -> np.ndarray:
+        padded = np.concatenate([np.asarray(text, np.uint8), np.zeros(8, np.uint8)])
+        self.words = np.ndarray((len(padded) - 7,), ">u8", padded.data, strides=(1,))
+        self.kind = np.int32 if len(padded) < 1 << 31 else np.int64
+        self.levels: list[np.ndarray] = []  # distinct in all; the largest first
+
+    def _word(self, starts: np.ndarray, k: int) -> np.ndarray:
+        """The kth eight bytes; the last ones overlap those before, so that none lies outside of the string."""
+        if self.length < 8:
+            return self.words[starts].astype(np.uint64) >> np.uint64(8 * (8 - self.length))
+        return self.words[starts + min(8 * k, self.length - 8)].astype(np.uint64)
+
+    def sorted(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of strings by their bytes, equal ones as they came, and which equals the one before it. Where starts
+        are sorted runs, they are merged: the sort is stable and finds them in order."""
+        order = np.arange(len(starts))
+        new = np.zeros(len(starts), bool)
+        new[:1] = True
+        slots, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+        for k in range(-(-self.length // 8)):
+            if not len(slots):
+                break
+            word = self._word(starts[order[slots]], k)
+            by = np.argsort(word, kind="stable")
+            if k:
+                by = by[np.argsort(group[by], kind="stable")]
+            order[slots] = order[slots][by]
+            word, group = word[by], group[by]
+            new[slots[1:]] |= (group[1:] != group[:-1]) | (word[1:] != word[:-1])
+            # those that still agree with a neighbour go on, a run of them a group
+            tied = np.zeros(len(slots), bool)
+            again = ~new[slots]
+            tied |= again
+            tied[:-1] |= again[1:]
+            slots = slots[tied]
+            group = np.cumsum(new[slots])
+        return order, ~new
+
+    def _scan(self, level: np.ndarray, batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges a sorted batch with a level: both in order, and which strings of the batch the level has."""
+        both = np.concatenate([level, batch])
+        order, same = self.sorted(both)
+        met = np.zeros(len(both), bool)
+        met[order[same]] = True  # of two equal ones the level's comes first
+        return both[order], met[len(level) :]
+
+    def add(self, starts: np.ndarray) -> np.ndarray:
         """Whether each string of a batch is in a level or earlier in the batch. The new ones become a level."""
-        order = np.argsort(batch, kind="stable")
-        ranked = batch[order]
-        again = np.append(False, ranked[1:] == ranked[:-1]) if len(ranked) else np.zeros(0, bool)
-        fresh = ranked[~again]
+        order, same = self.sorted(starts)
+        fresh = starts[order[~same]].astype(self.kind)
         known = np.zeros(len(fresh), bool)
         for level in self.levels:
-            at = np.searchsorted(level, fresh)
-            at[at == len(level)] = 0
-            known |= level[at] == fresh
-        repeated = np.empty(len(batch), bool)
-        repeated[order] = known[np.cumsum(~again) - 1] | again if len(ranked) else again
+            known |= self._scan(level, fresh)[1]
+        repeated = np.empty(len(starts), bool)
+        repeated[order] = known[np.cumsum(~same) - 1] | same if len(starts) else same
         self._push(fresh[~known])
         return repeated
 
@@ -155,9 +195,8 @@ class SuffixLevels:
             return
         self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-1]).bit_length() >= len(self.levels[-2]).bit_length():
-            merged = np.concatenate([self.levels.pop(), self.levels.pop()])
-            merged.sort(kind="stable")  # two sorted runs: merged in one pass
-            self.levels.append(merged)
+            last, before = self.levels.pop(), self.levels.pop()
+            self.levels.append(self._scan(before, last)[0])
 
 
 def spans_of(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,11 +262,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte is removed if it is in a string of `length` bytes that also starts earlier: in a row with a smaller
     id, or further on the left in the same row. Strings don't cross rows and are judged on the input. Null
     texts are empty; rows with a null id count as last, rows with one id in the order of their bytes, and
-    repeated rows stay repeated (all but the first lose what is long enough); an empty table gives no rows."""
+    repeated rows stay repeated (all but the first lose what is long enough); an empty table gives no rows. Only
+    the id and text columns are read, so others may have any name."""
     spark = docs.sparkSession
     n = partitions(spark)
-    groups, buckets = PER_PARTITION * n, n
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    total = int(chosen.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+    groups, buckets = max(PER_PARTITION * n, -(-total // GROUP_BYTES)), max(n, -(-total // BUCKET_BYTES))
     own = F.pmod(F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(groups))
     dealt = chosen.withColumn("g", own).repartition(n, "g")
 
@@ -351,13 +392,18 @@ def repeated_spans(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, len
     again = np.flatnonzero(first != np.arange(len(first)))
     found = [(again, np.zeros(len(again), np.int64), counts[again] + length - 1)]
     fresh = np.flatnonzero(first == np.arange(len(first)))
-    levels = SuffixLevels(length)
-    cuts = np.flatnonzero(np.diff(np.cumsum(counts[fresh]) // BATCH)) + 1
-    for part in np.split(fresh, cuts):
+    levels = SuffixLevels(text, length)
+    # a batch is as large as all before it together, so that scans of the levels cost in proportion
+    total = np.cumsum(counts[fresh])
+    cuts, edge = [], BATCH
+    while len(total) and edge < total[-1]:
+        cuts.append(int(np.searchsorted(total, edge)))
+        edge += min(edge, LARGEST_BATCH)
+    for part in np.split(fresh, np.unique(cuts).astype(int)):
         n = counts[part]
         of = np.repeat(part, n)
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = levels.add(strings(text, begins[of] + at, length))
+        hit = levels.add((begins[of] + at).astype(levels.kind))
         of, at = of[hit], at[hit]
         found.append(spans_of(of, at, at + length))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))

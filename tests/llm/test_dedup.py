@@ -89,18 +89,24 @@ def test_suffix_dedup_cuts_long_texts(spark, monkeypatch):
     assert int(gone.sum()) == sum(x[2] for x in brute_removed(group, 100))
 
 
-def test_suffix_levels_grow_geometrically():
-    rng = np.random.default_rng(1)
-    levels, seen = suffix_dedup.SuffixLevels(4), set()
-    for _ in range(40):
-        batch = rng.integers(97, 101, (50, 4)).astype(np.uint8).view("S4").ravel()
+@pytest.mark.parametrize("length", [4, 8, 13, 20])
+def test_suffix_levels_grow_geometrically(length):
+    rng = np.random.default_rng(length)
+    text = rng.integers(97, 99 if length > 4 else 101, 4000).astype(np.uint8)
+    text[2000:2100] = text[500:600]
+    levels, seen = suffix_dedup.SuffixLevels(text, length), set()
+    for batch in np.array_split(rng.permutation(len(text) - length + 1), 40):
         expected = []
-        for x in batch.tolist():
-            expected.append(x in seen)
-            seen.add(x)
+        for at in batch.tolist():
+            expected.append(text[at : at + length].tobytes() in seen)
+            seen.add(text[at : at + length].tobytes())
         assert levels.add(batch).tolist() == expected
     sizes = [len(x) for x in levels.levels]
     assert sum(sizes) == len(seen) and len({s.bit_length() for s in sizes}) == len(sizes)
+    assert all(x.dtype == np.int32 for x in levels.levels)
+    for level in levels.levels:
+        held = [text[at : at + length].tobytes() for at in level.tolist()]
+        assert held == sorted(held)
 
 
 def test_empty_tables(spark):
