@@ -21,8 +21,8 @@ ORDERS = (2, 3)
 BUCKETS = 1 << 15
 #: So many labelled rows, about, are drawn by a hash of their id to fit the model.
 TRAIN_ROWS = 30_000
-#: Of the broadcast matrix; with more languages than fit, buckets are halved.
-MODEL_BYTES = 64 << 20
+#: More languages than these are an error: they bound what is gathered and the matrix that is broadcast (64 MB).
+MOST_LANGUAGES = 512
 SMOOTHING = 0.5
 #: Texts are joined up to so many characters to be scored at once.
 CHUNK = 1 << 19
@@ -99,7 +99,9 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     """Fits on rows of docs with a text and a language for which allowed holds: all of them up to about
     `rows`, beyond it a sample drawn by a hash of the id."""
     fit = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = fit.count()
+    n, languages = fit.agg(F.count(F.lit(1)), F.approx_count_distinct(lang_col)).first()
+    if languages > 1.1 * MOST_LANGUAGES:
+        raise ValueError(f"there are about {languages} languages; at most {MOST_LANGUAGES} can be told apart")
     if n > rows:
         fit = fit.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
 
@@ -123,14 +125,11 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
 
     found = map_arrow(fit.select(lang_col, text_col), count, "bucket long, n long, lang string").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(found["lang"].unique().tolist())
-    buckets = BUCKETS
-    while buckets * max(1, len(names)) * 4 > MODEL_BYTES and buckets > 256:
-        buckets //= 2
-    counts, prior = np.zeros((buckets, len(names))), np.zeros(len(names))
+    counts, prior = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
     at = found["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(dtype=np.int64)
     bucket, n = found["bucket"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.float64)
     prior[at[bucket < 0]] = n[bucket < 0]
-    np.add.at(counts, (bucket[bucket >= 0] * buckets // BUCKETS, at[bucket >= 0]), n[bucket >= 0])
+    np.add.at(counts, (bucket[bucket >= 0], at[bucket >= 0]), n[bucket >= 0])
     counts += SMOOTHING
     return Model(names, np.log((prior + 1) / (prior + 1).sum()) if names else prior, np.log(counts / counts.sum(axis=0)).astype(np.float32))
 
@@ -158,7 +157,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     The model is fitted on labelled rows that aren't held out. Null texts and texts without a letter get
     `und` and score 0, as does all if nothing is labelled; repeated rows get the same prediction; languages
-    that tie go by name. score is the posterior probability of lang_pred."""
+    that tie go by name; an empty table gives no rows; other columns aren't read. score is the posterior
+    probability of lang_pred."""
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = train(chosen, ~held_out())
     return predict(chosen.withColumn("held_out", held_out()), model, keep=("held_out",))
@@ -169,8 +169,9 @@ REJECT_UNDER = 0.5
 
 
 def accept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, columns as they were, whose language is recognized: a known language with a posterior
-    probability of at least REJECT_UNDER. If docs has no labelled row at all, nothing can be told and all stay."""
+    """The rows of docs, columns as they were and of any name, whose language is recognized: a known language with a
+    posterior probability of at least REJECT_UNDER. Null texts and texts without a letter go; repeated rows stay or
+    go together; an empty table gives no rows. If no row is labelled, nothing can be told and all stay."""
     model = train(docs.select(id_col, text_col, lang_col), ~held_out(id_col), id_col, text_col, lang_col)
     if not model.languages:
         return docs

@@ -2,12 +2,18 @@
 
 One Aho-Corasick automaton finds the magic bytes of all formats in one pass over the bytes; a validator of the
 format then walks its structure and tells its length, or that it isn't one. The declared type gives way to
-what is confirmed at the start; what is confirmed further on is embedded media.
+what is confirmed at the start; what is confirmed further on is embedded media, which inspected() carves out.
+
+digest() makes each text a media value in a binary column and reads that column back; the column is where the
+value is stored, and is not written to a file of its own.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable
@@ -28,7 +34,7 @@ TAIL = 32
 UNKNOWN = "application/octet-stream"
 
 
-def _png(data: memoryview, at: int) -> int:
+def _png(data: Marks, at: int) -> int:
     """Each validator: the length of the media at a position, 0 if it isn't whole and well-formed."""
     if bytes(data[at : at + 8]) != b"\x89PNG\r\n\x1a\n":
         return 0
@@ -44,7 +50,7 @@ def _png(data: memoryview, at: int) -> int:
     return 0
 
 
-def _gif(data: memoryview, at: int) -> int:
+def _gif(data: Marks, at: int) -> int:
     if len(data) < at + 13:
         return 0
     flags = data[at + 10]
@@ -69,7 +75,44 @@ def _gif(data: memoryview, at: int) -> int:
     return 0
 
 
-def _jpeg(data: memoryview, at: int) -> int:
+class Marks(bytes):
+    """Bytes that remember where their markers are, so that no validator looks through all that follows."""
+
+    def places(self, mark: bytes) -> list[int]:
+        known = self.__dict__.setdefault("known", {})
+        if mark not in known:
+            known[mark] = [m.start() for m in re.finditer(re.escape(mark), self)]
+        return known[mark]
+
+    def next(self, mark: bytes, at: int) -> int:
+        places = self.places(mark)
+        k = bisect.bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def last(self, mark: bytes, lo: int, hi: int) -> int:
+        places = self.places(mark)
+        k = bisect.bisect_left(places, hi) - 1
+        return places[k] if k >= 0 and places[k] >= lo else -1
+
+    @functools.cached_property
+    def jpeg_markers(self) -> list[int]:
+        """Where entropy-coded data would end: at 255 and what is neither stuffing nor a restart."""
+        return [m.start() for m in re.finditer(rb"\xff[^\x00\xd0-\xd7]", self, re.S)]
+
+    @functools.cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """Of each archive whose end record fits what stands before it: its start, and its end."""
+        out = {}
+        for end in self.places(b"PK\5\6"):
+            if end + 22 <= len(self):
+                size, start, note = struct.unpack("<IIH", self[end + 12 : end + 22])
+                at = end - size - start
+                if at >= 0 and end + 22 + note <= len(self) and (size == 0 or self[at + start : at + start + 4] == b"PK\1\2"):
+                    out.setdefault(at, end + 22 + note)
+        return out
+
+
+def _jpeg(data: Marks, at: int) -> int:
     i = at + 2
     while i + 4 <= len(data) and data[i] == 0xFF:
         kind = data[i + 1]
@@ -80,20 +123,17 @@ def _jpeg(data: memoryview, at: int) -> int:
         if n < 2:
             return 0
         i += 2 + n
-        if kind == 0xDA:  # entropy-coded data up to a marker that isn't stuffing or a restart
-            whole = bytes(data[i:])
-            j = whole.find(b"\xff")
-            while j >= 0 and j + 1 < len(whole) and (whole[j + 1] == 0 or 0xD0 <= whole[j + 1] <= 0xD7):
-                j = whole.find(b"\xff", j + 2)
-            if j < 0 or j + 1 >= len(whole):
+        if kind == 0xDA:  # entropy-coded data up to a marker
+            k = bisect.bisect_left(data.jpeg_markers, i)
+            if k == len(data.jpeg_markers):
                 return 0
-            i += j
-            if whole[j + 1] == 0xD9:
+            i = data.jpeg_markers[k]
+            if data[i + 1] == 0xD9:
                 return i + 2 - at
     return 0
 
 
-def _riff(data: memoryview, at: int, form: bytes) -> int:
+def _riff(data: Marks, at: int, form: bytes) -> int:
     if len(data) < at + 12 or bytes(data[at + 8 : at + 12]) != form:
         return 0
     end = at + 8 + struct.unpack("<I", data[at + 4 : at + 8])[0]
@@ -106,42 +146,34 @@ def _riff(data: memoryview, at: int, form: bytes) -> int:
     return end - at if whole and (form != b"WAVE" or kinds[:1] == [b"fmt "] and b"data" in kinds) and kinds else 0
 
 
-def _wav(data: memoryview, at: int) -> int:
+def _wav(data: Marks, at: int) -> int:
     return _riff(data, at, b"WAVE")
 
 
-def _webp(data: memoryview, at: int) -> int:
+def _webp(data: Marks, at: int) -> int:
     return _riff(data, at, b"WEBP")
 
 
-def _bmp(data: memoryview, at: int) -> int:
+def _bmp(data: Marks, at: int) -> int:
     if len(data) < at + 26:
         return 0
     n, rest, start, head = struct.unpack("<IIII", data[at + 2 : at + 18])
     return n if rest == 0 and head in (12, 40, 52, 56, 108, 124) and 14 + head <= start <= n <= len(data) - at else 0
 
 
-def _pdf(data: memoryview, at: int) -> int:
-    whole = bytes(data[at:])
-    if not whole[5:6].isdigit():
+def _pdf(data: Marks, at: int) -> int:
+    if not data[at + 5 : at + 6].isdigit():
         return 0
-    following = whole.find(b"%PDF-", 5)
-    last = whole.rfind(b"%%EOF", 0, following if following > 0 else len(whole))
-    return last + 5 if last > 0 and b"startxref" in whole[:last] else 0
-
-
-def _zip(data: memoryview, at: int) -> int:
-    whole = bytes(data[at:])
-    end = whole.find(b"PK\x05\x06")
-    while end >= 0 and end + 22 <= len(whole):
-        size, start, note = struct.unpack("<IIH", whole[end + 12 : end + 22])
-        if start + size == end and (size == 0 or whole[start : start + 4] == b"PK\x01\x02") and end + 22 + note <= len(whole):
-            return end + 22 + note
-        end = whole.find(b"PK\x05\x06", end + 4)
-    return 0
+    following = data.next(b"%PDF-", at + 5)
+    last = data.last(b"%%EOF", at + 5, following if following > 0 else len(data))
+    return last + 5 - at if last > 0 and data.last(b"startxref", at + 5, last) > 0 else 0
+
 
+def _zip(data: Marks, at: int) -> int:
+    return data.zip_ends.get(at, at) - at
 
-def _gzip(data: memoryview, at: int) -> int:
+
+def _gzip(data: Marks, at: int) -> int:
     inflate = zlib.decompressobj(31)
     i = at
     try:
@@ -155,7 +187,7 @@ def _gzip(data: memoryview, at: int) -> int:
     return min(i, len(data)) - len(inflate.unused_data) - at if inflate.eof else 0
 
 
-def _ogg(data: memoryview, at: int) -> int:
+def _ogg(data: Marks, at: int) -> int:
     i, last = at, False
     while i + 27 <= len(data) and bytes(data[i : i + 4]) == b"OggS" and data[i + 4] == 0:
         n = data[i + 26]
@@ -172,7 +204,7 @@ def _ogg(data: memoryview, at: int) -> int:
 class Format:
     name: str
     magic: bytes
-    length: Callable[[memoryview, int], int]
+    length: Callable[[Marks, int], int]
 
 
 #: Registered media types and the magic bytes that the formats' standards give.
@@ -211,7 +243,7 @@ def marks(data: bytes) -> list[tuple[int, bytes]]:
 
 def confirmed(data: bytes, found: list[tuple[int, bytes]] | None = None, past: int = 0) -> list[tuple[int, int, str]]:
     """(start, length, type) of all well-formed media in data from a position on, none within another, in order."""
-    view, out = memoryview(data), []
+    view, out = data if isinstance(data, Marks) else Marks(data), []
     for start, magic in marks(data) if found is None else found:
         if start < past:
             continue
@@ -226,6 +258,7 @@ def confirmed(data: bytes, found: list[tuple[int, bytes]] | None = None, past: i
 def sniff(data: bytes, declared: str | None = None) -> tuple[str, int, list[tuple[int, int, str]]]:
     """The type that data has, its length, and the media embedded in it or after it. Without a confirmed type
     at its start, a declared type that has a signature here is taken back; another one stands."""
+    data = Marks(data)
     found = marks(data)
     first = confirmed(data, found[:1]) if found and found[0][0] == 0 else []
     if not first:
@@ -234,6 +267,34 @@ def sniff(data: bytes, declared: str | None = None) -> tuple[str, int, list[tupl
     return kind, n, confirmed(data, found, chunk(data, b"data")[0] if kind == "audio/wav" else n)
 
 
+CARVED = "array<struct<media_type:string,start:bigint,length:bigint,content:binary>>"
+
+
+def inspected(media: DataFrame, id_col: str, media_col: str, declared_col: str | None = None) -> DataFrame:
+    """(id, declared, media_type, corrected, length, carved) for each row of a table with a column of media and one of
+    their declared types: the type that the bytes have, whether it isn't the declared one, its length, and the
+    well-formed media that stand within or after it, each with its type, place and bytes.
+
+    Null and empty values have the type application/octet-stream unless another one without a signature is declared,
+    length 0, and nothing to carve; ids, repeated rows and nulls stay as they are; an empty table gives no rows; other
+    columns aren't read, whatever their names."""
+    declared = F.col(declared_col) if declared_col else F.lit(None).cast("string")
+    chosen = media.select(F.col(id_col).alias("id"), declared.alias("declared"), F.col(media_col).cast("binary").alias("media"))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for told, value in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            data = value or b""
+            kind, n, within = sniff(data, told)
+            rows.append((kind, kind != told, n, [{"media_type": k, "start": at, "length": size, "content": data[at : at + size]} for at, size, k in within]))
+        carved = pa.list_(pa.struct([("media_type", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("content", pa.binary())]))
+        kinds = (pa.string(), pa.bool_(), pa.int64(), carved)
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["id", "declared", "media_type", "corrected", "length", "carved"])
+
+    kind = chosen.schema["id"].dataType.simpleString()
+    return map_arrow(chosen, step, f"id {kind}, declared string, media_type string, corrected boolean, length long, carved {CARVED}")
+
+
 def to_wav(payload: bytes) -> bytes:
     """Payload bytes as unsigned 8-bit samples, one channel."""
     pad = len(payload) & 1

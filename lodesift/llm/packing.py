@@ -91,9 +91,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = Non
     Rows of more than `capacity` words are cut in pieces of that many and a rest. No bin holds two pieces of one
     source or of one duplicate cluster; by default rows with equal lower-cased texts are a cluster. Rows without a
     source conflict with none by it. Null and empty texts get one row with bin_id null and 0 words;
-    repeated rows are packed each; rows that tie in size go by id; an empty table gives no rows."""
+    repeated rows are packed each; rows that tie in size go by id; an empty table gives no rows. Only the id, source and
+    text columns are read, so others may have any name."""
     of = F.xxhash64(F.lower(text_col)) if cluster is None else cluster
     items = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), of.alias("cluster"), word_count(F.col(text_col)).alias("size"))
     shards = -(-docs.select(id_col).count() // shard_rows) or 1
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.lit("pack"), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("cluster"))), F.lit(shards)))
+    # rows that are equal in all are told apart by where they are read, so that they don't fill one shard
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "cluster", "source", F.spark_partition_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(lambda rows: pack_shard(rows, capacity), SCHEMA)

@@ -13,8 +13,8 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
-from typing import Protocol
+from collections.abc import Iterable, Iterator
+from typing import BinaryIO, Protocol
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,8 +28,8 @@ DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of at least so many bytes are recorded once.
 REVISIT_BYTES = 0
-#: Records of an archive, about.
-ARCHIVE_RECORDS = 1000
+#: Records of an archive, and bytes of their payloads, about.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 1000, 32 << 20
 
 
 class RangeReader(Protocol):
@@ -68,28 +68,44 @@ class FileReader:
 # ZIP
 
 
-def zip_stored(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A ZIP archive of stored members; with ZIP64 records where sizes need them, or all over if asked for."""
-    out, directory = bytearray(), bytearray()
-    for name, data in members:
-        at, raw, crc, n = len(out), name.encode(), zlib.crc32(data), len(data)
-        large = zip64 or n >= 0xFFFFFFFF or at >= 0xFFFFFFFF
-        version = 45 if large else 20
-        extra = struct.pack("<HHQQ", 1, 16, n, n) if large else b""
-        shown = 0xFFFFFFFF if large else n
-        out += struct.pack("<4sHHHHHIIIHH", b"PK\3\4", version, 0x800, 0, 0, 33, crc, shown, shown, len(raw), len(extra)) + raw + extra + data
-        extra = struct.pack("<HHQQQ", 1, 24, n, n, at) if large else b""
-        directory += struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", version, version, 0x800, 0, 0, 33, crc, shown, shown, len(raw), len(extra), 0, 0, 0, 0, 0xFFFFFFFF if large else at) + raw + extra
-    at, count = len(out), len(members)
-    out += directory
-    if zip64 or at >= 0xFFFFFFFF or count >= 0xFFFF or len(directory) >= 0xFFFFFFFF:
-        end = len(out)
-        out += struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, count, count, len(directory), at)
-        out += struct.pack("<4sIQI", b"PK\6\7", 0, end, 1)
-        out += struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
-    else:
-        out += struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, count, count, len(directory), at, 0)
-    return bytes(out)
+class ZipWriter:
+    """A ZIP archive of stored members, written in one pass: sizes and checksums follow each member and stand in the
+    central directory. ZIP64 records are written where sizes need them, or all over if asked for."""
+
+    def __init__(self, out: BinaryIO, zip64: bool = False):
+        self.out, self.zip64, self.at = out, zip64, 0
+        self.members: list[tuple[bytes, int, int, int]] = []  # name, start, checksum, size
+
+    def _write(self, data: bytes) -> None:
+        self.out.write(data)
+        self.at += len(data)
+
+    def member(self, name: str, parts: Iterable[bytes]) -> None:
+        raw, start, crc, size = name.encode(), self.at, 0, 0
+        self._write(struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 45 if self.zip64 else 20, 0x808, 0, 0, 33, 0, 0, 0, len(raw), 0) + raw)
+        for part in parts:
+            crc, size = zlib.crc32(part, crc), size + len(part)
+            self._write(part)
+        self._write(struct.pack("<4sIQQ" if self._large(size) else "<4sIII", b"PK\7\10", crc, size, size))
+        self.members.append((raw, start, crc, size))
+
+    def _large(self, *values: int) -> bool:
+        return self.zip64 or max(values) >= 0xFFFFFFFF
+
+    def close(self) -> None:
+        start = self.at
+        for raw, at, crc, n in self.members:
+            large = self._large(at, n)
+            extra = struct.pack("<HHQQQ", 1, 24, n, n, at) if large else b""
+            version, shown = (45, 0xFFFFFFFF) if large else (20, n)
+            self._write(struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", version, version, 0x808, 0, 0, 33, crc, shown, shown, len(raw), len(extra), 0, 0, 0, 0, 0xFFFFFFFF if large else at) + raw + extra)
+        end, count = self.at, len(self.members)
+        if self._large(start, end - start) or count >= 0xFFFF:
+            self._write(struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, count, count, end - start, start))
+            self._write(struct.pack("<4sIQI", b"PK\6\7", 0, end, 1))
+            self._write(struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+        else:
+            self._write(struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, count, count, end - start, start, 0))
 
 
 def zip_members(reader: RangeReader) -> dict[str, tuple[int, int, int]]:
@@ -178,15 +194,23 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, headers(http.decode().split("\r\n")[1:]), payload
 
 
-def archive(records: Iterator[tuple[int | None, bytes]], zip64: bool = False) -> bytes:
-    """A ZIP archive of (page id, record): the data member and its index, both stored."""
-    data, index = bytearray(), []
-    for page_id, raw in records:
-        deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
-        member = deflate.compress(raw) + deflate.flush()
-        index.append(f"{'-' if page_id is None else page_id} " + json.dumps({"offset": len(data), "length": len(member), "filename": DATA}))
-        data += member
-    return zip_stored([(DATA, bytes(data)), (INDEX, ("\n".join(index) + "\n").encode())], zip64)
+def write_archive(out: BinaryIO, records: Iterator[tuple[int | None, bytes]], zip64: bool = False) -> None:
+    """A ZIP archive of (page id, record): the data member, record by record, and its index, both stored."""
+    index, at = [], 0
+
+    def members() -> Iterator[bytes]:
+        nonlocal at
+        for page_id, raw in records:
+            deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+            member = deflate.compress(raw) + deflate.flush()
+            index.append(f"{'-' if page_id is None else page_id} " + json.dumps({"offset": at, "length": len(member), "filename": DATA}))
+            at += len(member)
+            yield member
+
+    made = ZipWriter(out, zip64)
+    made.member(DATA, members())
+    made.member(INDEX, [("\n".join(index) + "\n").encode()])
+    made.close()
 
 
 def read_records(reader: RangeReader) -> Iterator[bytes]:
@@ -213,9 +237,11 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Of the rows with one payload of at least revisit_bytes, those with the largest id are responses; the
     others, null ids among them, revisit it. If all ids of a payload are null, all are responses. Null html is
-    an empty payload. Files are written under another name and then renamed, so a task that is run again
-    leaves the same files."""
-    count = max(1, -(-pages.select(id_col).count() // archive_records))
+    an empty payload. Archives hold about so many records and bytes, whichever is fewer; records are written one after
+    the other. Files are written under another name and then renamed, so a task that is run again leaves the
+    same files, and what a failed one has written is deleted."""
+    rows, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(html_col).cast("long"))).first()
+    count = max(1, -(-rows // archive_records), -(-(size or 0) // ARCHIVE_BYTES))
     chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     chosen = chosen.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(count)))
     shared = chosen.where(F.octet_length("html") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").select("digest", "last")
@@ -234,9 +260,14 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         store.create_dir(base, recursive=True)
         name = f"part-{key[0].as_py():08d}.wacz"
         passing = f"{base}/.{name}.{uuid.uuid4().hex}"
-        with store.open_output_stream(passing) as out:
-            out.write(archive(records()))
-        store.move(passing, f"{base}/{name}")
+        try:
+            with store.open_output_stream(passing) as out:
+                write_archive(out, records())
+            store.move(passing, f"{base}/{name}")
+        except BaseException:
+            if store.get_file_info(passing).type == pafs.FileType.File:
+                store.delete_file(passing)
+            raise
         return pa.table({"path": [f"{folder}/{name}"], "records": pa.array([len(rows)], pa.int64())})
 
     return chosen.groupBy("archive").cogroup(revisits.groupBy("of")).applyInArrow(write, "path string, records long")
@@ -271,6 +302,8 @@ def read_archives(manifest: DataFrame, path_col: str = "path") -> DataFrame:
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Writes pages to archives in the shared folder and reads them back, a row for each row of pages.
 
-    Repeated rows are records each; rows with a null id count like others; an empty table gives no rows."""
+    Null html is an empty payload; repeated rows are records each; rows with a null id count like others, and are
+    responses if no row of their payload has an id; an empty table gives no rows. Only the three columns named are
+    read, so others may have any name."""
     folder = fresh_path(pages.sparkSession, "warc")
     return read_archives(materialize(write_archives(pages, folder, id_col, url_col, html_col), "manifest"))
