@@ -54,4 +54,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_duplicate_passages, op2_best_fit_packing, op3_suffix_dedup, op4_nearest_neighbours, op5_simhash_near_dedup, op6_source_mixing, op7_language_id, op8_warc_round_trip, op9_secret_scan, op10_media_columns)
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_source_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_source_mixing": mixing.ORACLE, "op8_warc_round_trip": warc.ORACLE, "op9_secret_scan": secrets.ORACLE}

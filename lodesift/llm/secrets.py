@@ -163,3 +163,30 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
         met = met.withColumn(chars_col, F.when(F.col(live).isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return own.where(~perhaps(F.col(key))).select(*columns).unionByName(met.select(*columns))
+
+
+_SQL_KINDS = ((ASSIGN, 2, 8, "regexp_matches(lower(t), 'password|passwd|secret|token|api_?key')"), (ACCESS, 1, 16, "contains(t, 'AKIA')"), (HEX, 1, 32, "true"))
+
+
+def _sql_matches(kind: int) -> str:
+    pattern, group, least, may = _SQL_KINDS[kind]
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT r, source, doc_id, {kind} AS kind, s AS start, s + length(w[k]) AS stop, v[k] AS value FROM (
+  SELECT *, coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(w[1:k - 1], lambda x: length(x))), 0)::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM (SELECT *, regexp_extract_all(t, '{quoted}') AS w, regexp_extract_all(t, '{quoted}', {group}) AS v, string_split_regex(t, '{quoted}') AS g FROM rows WHERE {may})))
+  WHERE length(v[k]) >= {least}"""
+
+
+_SQL_NAMED = "CASE kind " + " ".join(f"WHEN {k} THEN '{name}'" for k, name in enumerate(KINDS)) + " END || ':' || start || ':' || stop"
+_SQL_LIVE = f"length(value) >= {LIVE_CHARS} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 8 AND NOT regexp_matches(lower(value), '{'|'.join(PLACEHOLDERS)}')"
+#: What scan() returns for documents, each of which is its own repository and whose source owns it.
+ORACLE = f"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(map(_sql_matches, range(3)))}),
+counts AS (SELECT value, count(*) AS owners, sum(n) AS repositories FROM (SELECT value, source, count(*) AS n FROM (SELECT DISTINCT value, source, doc_id FROM found) GROUP BY value, source) GROUP BY value),
+added AS (SELECT DISTINCT r, CASE WHEN owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} THEN 3 WHEN {_SQL_LIVE} THEN 4 END AS kind, stop - length(value) AS start, stop FROM found JOIN counts USING (value)),
+every AS (SELECT r, kind, start, stop FROM found UNION ALL SELECT r, kind, start, stop FROM added WHERE kind IS NOT NULL),
+told AS (SELECT r, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(KINDS))},
+  coalesce(string_agg({_SQL_NAMED}, ',' ORDER BY start, kind, stop) FILTER (kind < 3), '') AS base, coalesce(string_agg({_SQL_NAMED}, ',' ORDER BY start, kind, stop), '') AS spans FROM every GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM rows LEFT JOIN told USING (r)
+"""

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodesift.llm import langid, media, mixing, packing, secrets, warc
+from lodesift.llm import langid, media, mixing, packing, queries, secrets, simhash, warc
 
 ODD = [
     (90001, None, None, None, None),
@@ -164,15 +164,74 @@ def test_empty_tables(docs):
         assert step(none).count() == 0, step.__name__
 
 
-def test_pipeline_keeps_clean_documents(spark, sf):
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
+def test_queries_agree_with_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, sf)
+    cols = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert Counter(map(repr, want)) == Counter(repr(tuple(r)) for r in got.select(*cols).collect())
+
+
+def _words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """Each stage, from what the one before it has kept: what it decides, row by row."""
+    rows = lambda df: [r.asDict() for r in df.collect()]
     table = spark.read.parquet(f"{sf}/documents.parquet")
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert names == ["language_id", "simhash_near_dedup", "secret_scan", "mix_sources", "best_fit_packing"]
+    names, stages = zip(*corpus_pipeline.STAGES, strict=True)
+    assert names == ("language_id", "simhash_near_dedup", "secret_scan", "mix_sources", "best_fit_packing")
+    kept = {}
     docs = table
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        before, docs = docs, stage(spark, docs, sf)
-        docs = corpus_pipeline.materialize(docs, name)
-        assert docs.columns == table.columns
-        if name == "simhash_near_dedup":
-            assert docs.count() <= before.count()
-    assert corpus_pipeline.best_fit_packing(spark, docs, sf).count() > 0
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(stage(spark, docs, sf), name)
+        kept[name] = rows(docs)
+        if name != names[-1]:
+            assert docs.columns == table.columns
+    before = rows(table)
+    told = {r.doc_id: r for r in langid.identify(table).collect()}
+    want = Counter(r["doc_id"] for r in before if told[r["doc_id"]].lang_pred != "und" and told[r["doc_id"]].score >= langid.REJECT_UNDER)
+    assert Counter(r["doc_id"] for r in kept["language_id"]) == want
+    prints = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode()) for r in kept["language_id"]}
+    first, left = {}, sorted(prints)
+    while left:  # the smallest id of each component
+        reached, queue = {left[0]}, [left[0]]
+        while queue:
+            x = queue.pop()
+            near = {y for y in left if y not in reached and (prints[x] ^ prints[y]).bit_count() <= 3}
+            reached |= near
+            queue += near
+        first[min(reached)] = reached
+        left = [x for x in left if x not in reached]
+    assert Counter(r["doc_id"] for r in kept["simhash_near_dedup"]) == Counter(list(first))
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x.startswith("live")] for r in secrets.scan(spark.createDataFrame(kept["simhash_near_dedup"], table.schema)).collect()}
+    for r, s in zip(sorted(kept["simhash_near_dedup"], key=lambda r: r["doc_id"]), sorted(kept["secret_scan"], key=lambda r: r["doc_id"]), strict=True):
+        text = r["text"]
+        for value in sorted({text[int(a) : int(b)] for _, a, b in spans[r["doc_id"]]}, key=len, reverse=True):
+            text = text.replace(value, secrets.MASK)
+        assert s["text"] == text and s["n_chars"] == (len(text) if spans[r["doc_id"]] else r["n_chars"])
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame(kept["secret_scan"], table.schema).toPandas())
+    want = {i: (n, size) for i, n, size in con.execute(f"SELECT doc_id, taken, size FROM ({mixing.ORACLE})").fetchall()}
+    taken = Counter()
+    for r in kept["mix_sources"]:
+        taken[r["doc_id"]] += len(_words(r["text"]))
+        assert len(_words(r["text"])) <= want[r["doc_id"]][1]
+    assert taken == Counter({i: n for i, (n, _) in want.items() if n})
+    placed, whole, bins = Counter(), Counter(), defaultdict(list)
+    for r in kept["best_fit_packing"]:
+        placed[r["doc_id"]] += r["n_words"]
+        if r["bin_id"] is not None:
+            bins[r["bin_id"]].append(r)
+    for r in kept["mix_sources"]:
+        whole[r["doc_id"]] += len(_words(r["text"]))
+    assert placed == whole
+    source = {r["doc_id"]: r["source"] for r in before}
+    for held in bins.values():
+        assert sum(r["n_words"] for r in held) <= packing.CAPACITY
+        known = [source[r["doc_id"]] for r in held if source[r["doc_id"]] is not None]
+        assert len(known) == len(set(known))

@@ -207,6 +207,53 @@ def test_all_passages_of_two_sequences_are_verified():
     assert got == [(0, 60, 0, 60), (90, 150, 0, 60)]
 
 
+def _similar_passage(a, b, words=50):
+    """Whether two word lists have runs of so many words with a Jaccard similarity of their shingles of 0.8, brute force
+    over runs of some lengths."""
+    grams = lambda x: [tuple(x[i : i + 5]) for i in range(len(x) - 4)]
+    x, y = grams(a), grams(b)
+    for n in (46, 52, 60):
+        ours = [set(x[i : i + n]) for i in range(0, len(x) - n + 1, 2)]
+        theirs = [set(y[i : i + n]) for i in range(0, len(y) - n + 1, 2)]
+        if any(len(p & q) >= 0.8 * len(p | q) for p in ours for q in theirs):
+            return True
+    return False
+
+
+def test_classes_of_passages_against_brute_force(spark):
+    """Families of versions, exact and edited, long and short, shuffled among texts with a common line, two of them in
+    one document: what brute force links is in one class, and no class holds texts of two families or of none."""
+    rng = random.Random(31)
+    some = lambda n: words(rng, n, 10**6)
+    line, rows = some(14), []
+    for family in range(12):
+        base = some(rng.choice((60, 75, 120)))
+        for _ in range(rng.randrange(2, 5)):
+            version = list(base)
+            if rng.random() < 0.5:
+                version[rng.randrange(len(version))] = "edited"
+            rows.append((family, some(rng.randrange(40)) + (line if rng.random() < 0.6 else []) + version + some(rng.randrange(40))))
+    rows += [(None, some(60) + line + some(60)) for _ in range(25)] + [(None, some(20))] * 3
+    rng.shuffle(rows)
+    families, rows = zip(*rows, strict=True)
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if _similar_passage(rows[i], rows[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    got = {r.doc_id: r for r in substring.near_duplicate_passages(docs_frame(spark, [(i, " ".join(t)) for i, t in enumerate(rows)])).collect()}
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if root(i) == root(j)]
+    assert sum(got[i].class_id == got[j].class_id for i, j in pairs) >= 0.98 * len(pairs) and len(pairs) > 30
+    for i, r in got.items():
+        assert families[r.class_id] == families[i] and (families[i] is not None or (r.class_size, r.n_passages) == (1, 0))
+
+
 def plain_hashes(n, seed):
     return np.random.default_rng(seed).integers(0, 1 << 62, n).astype(np.uint64)
 
