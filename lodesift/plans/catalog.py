@@ -154,7 +154,7 @@ def scan_all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hidden_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the files that a scan opens, of a tree with a file for each nation, hidden ones among them."""
-    root = _tree([r["n_nationkey"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").collect()])  # 25 rows
+    root = _tree(spark, [r["n_nationkey"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").collect()])  # 25 rows
     found = files(spark, root, globs=("skip/*",))
     return found.select("file_path", F.length("data").cast("long").alias("n_bytes"))
 
@@ -163,8 +163,12 @@ def hidden_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLACES = (".env", ".aws/credentials", "_x.yml", ".git/config", "sub/.hidden/a.txt", "_cfg/b c.txt", "plain.txt", "skip/me.txt", "go.sum", "x.PNG")
 
 
-def _tree(keys: list[int]) -> str:
-    root = tempfile.mkdtemp(prefix="lodesift-tree-")
+def _tree(spark: SparkSession, keys: list[int]) -> str:
+    """Files in the folder that the machines share, or, where none is set as in tests, in a temporary one."""
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if shared:
+        os.makedirs(shared, exist_ok=True)
+    root = tempfile.mkdtemp(prefix="lodesift-tree-", dir=shared or None)
     for k in keys:
         path = os.path.join(root, str(k), PLACES[k % len(PLACES)]) if k % len(PLACES) != 7 else os.path.join(root, "skip", f"{k}.txt")
         os.makedirs(os.path.dirname(path), exist_ok=True)
