@@ -4,11 +4,13 @@ Vectors are dealt to shards by a hash of their id; each shard keeps distinct vec
 by batches: a greedy search of the graph so far proposes neighbours, and pruning with a relaxed distance keeps a
 diverse few, in both directions. A constant is added as one more component so that all vectors of a shard have
 one length: the nearest in the graph then have the largest inner product. A query is answered by a beam search
-of every shard; what the beams find is scored exactly, in double precision, and merged.
+of every shard; what the beams find is scored exactly, in double precision, and merged. How wide a shard's beams
+are follows from its vectors: they double until the recall of a bounded sample of them reaches RECALL.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +29,15 @@ SHARD = 32_768
 SHARDS = 8
 #: Queries that meet a shard in one task.
 BLOCK = 65_536
-#: Nodes that a search expands at once, and searches that run at once.
-WIDE = 4
+#: What beams must find, on average, of the nearest to CHECKED vectors of a shard; these are compared with all.
+RECALL = 0.95
+CHECKED = 128
+#: A search expands a WIDE-th of its beam at once; so many searches run at once, fewer where beams are wider.
+WIDE = 32
 AT_ONCE = 256
-#: Of the longest vectors, so many are starts of searches.
-STARTS = 31
+#: Starts of searches, as multiples of the root of a shard's nodes: vectors by chance, and the longest ones.
+SPREAD = 4
+LONGEST = 1
 
 
 class Graph:
@@ -46,20 +52,20 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The nodes that greedy searches hold in the end, nearest first, and their squared distances; -1 and
         infinity where there are fewer."""
-        m = len(queries)
+        m, wide = len(queries), max(1, beam // WIDE)
         ids = np.full((m, beam), -1, np.int32)
         far = np.full((m, beam), np.inf, np.float32)
         done = np.ones((m, beam), bool)
         seen = np.zeros((m, len(self.nodes)), bool)
-        s = self.starts[:beam]
-        ids[:, : len(s)], seen[:, s], done[:, : len(s)] = s, True, False
-        for j, start in enumerate(s.tolist()):
-            far[:, j] = ((queries - self.nodes[start]) ** 2).sum(axis=1)
-        order = np.argsort(far, axis=1, kind="stable")
-        ids, far, done = (np.take_along_axis(x, order, axis=1) for x in (ids, far, done))
+        seen[:, self.starts] = True
+        at = self.nodes[self.starts]
+        gap = (queries**2).sum(axis=1)[:, None] + (at**2).sum(axis=1) - 2 * (queries @ at.T)
+        order = np.argsort(gap, axis=1, kind="stable")[:, :beam]
+        n = order.shape[1]
+        ids[:, :n], far[:, :n], done[:, :n] = self.starts[order], np.take_along_axis(gap, order, axis=1), False
         live = np.arange(m)
         while len(live):
-            pick = np.argsort(done[live], axis=1, kind="stable")[:, :WIDE]
+            pick = np.argsort(done[live], axis=1, kind="stable")[:, :wide]
             at = ids[live[:, None], pick]
             fresh = ~done[live[:, None], pick]
             done[live[:, None], pick] = True
@@ -165,20 +171,49 @@ class Graph:
             self.out = np.concatenate([self.out, wide], axis=1)
 
 
+    def products(self, queries: np.ndarray, beam: int) -> np.ndarray:
+        """The nodes that beams hold for queries without the last component."""
+        step = max(16, AT_ONCE * SEARCH_BEAM // beam)
+        wide = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        return np.concatenate([self.search(wide[lo : lo + step], beam)[0] for lo in range(0, len(wide), step)])
+
+    def beam(self, k: int) -> int:
+        """The beam, doubled from SEARCH_BEAM on, at which the sample's recall of the k largest products reaches
+        RECALL; at most the graph's size, where a search meets all nodes."""
+        n = len(self.nodes)
+        k = min(k, n)
+        # not the vectors where searches begin, which are found sooner than others
+        others = np.setdiff1d(np.arange(n), self.starts)
+        sample = np.random.default_rng([n, k]).permutation(others if len(others) >= k else n)[:CHECKED]
+        sample = self.nodes[sample, :-1].astype(np.float64)
+        score = sample @ self.nodes[:, :-1].T.astype(np.float64)
+        least = np.partition(score, n - k, axis=1)[:, n - k]
+        beam = max(SEARCH_BEAM, 2 * k)
+        while beam < n:
+            hits = self.products(sample, beam)
+            found = np.where(hits >= 0, np.take_along_axis(score, np.maximum(hits, 0), axis=1), -np.inf)
+            if np.minimum((found >= least[:, None]).sum(axis=1) / k, 1).mean() >= RECALL:
+                break
+            beam = min(2 * beam, n)
+        return beam
+
+
 def build(nodes: np.ndarray) -> Graph:
     """A graph over vectors with one more component that makes all lengths equal."""
     norm = (nodes.astype(np.float64) ** 2).sum(axis=1)
     graph = Graph(np.concatenate([nodes, np.sqrt(norm.max() - norm)[:, None]], axis=1).astype(np.float32))
     order = np.random.default_rng(len(nodes)).permutation(len(nodes)).astype(np.int64)
-    order = order[order != graph.starts[0]]
+    # a search that begins in one place doesn't leave its cluster, and products are large where vectors are long
+    root = math.ceil(math.sqrt(len(nodes)))
+    longest = np.argsort(-norm, kind="stable")[: LONGEST * root]
+    graph.starts = np.unique(np.concatenate([graph.starts, longest, order[: SPREAD * root]])).astype(np.int32)
+    order = np.concatenate([graph.starts, order[~np.isin(order, graph.starts)]]).astype(np.int64)
     at = 0
     while at < len(order):
         n = min(AT_ONCE, at + 1)
         graph.insert(order[at : at + n])
         at += n
     graph.connect()
-    # products are large where vectors are long: searches begin at some of the longest as well
-    graph.starts = np.unique(np.append(graph.starts, np.argsort(-norm, kind="stable")[:STARTS])).astype(np.int32)
     return graph
 
 
@@ -202,7 +237,8 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id
     Vectors are only compared with those of their own length. Equal vectors are one node whose ids all count;
     repeated rows with one id and vector count once; where one id has several vectors, all are candidates for
     others and the least of them, component by component, is the query. With fewer candidates than k all are
-    returned; an empty table gives no rows; other columns aren't read. The index holds every row."""
+    returned; an empty table gives no rows; other columns, whatever their names, aren't read. The index holds every
+    row; a graph's own recall of the k largest products, measured on CHECKED of its vectors, is RECALL or more."""
     chosen = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null and v is not null")
     usable = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = chosen.where(F.coalesce(usable, F.lit(False))).withColumn("dim", F.size("v"))
@@ -221,9 +257,9 @@ def search(vectors: DataFrame, is_query: str, k: int = 20, id_col: str = "vec_id
         again = np.zeros(len(by), bool)
         again[1:] = (ids[by][1:] == ids[by][:-1]) & (back[by][1:] == back[by][:-1])
         by = by[~again]
-        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [key[1].as_py()], "ids": [ids[by].tobytes()], "of": [back[by].astype(np.int32).tobytes()], "nodes": [v[first].tobytes()], "out": [graph.out.tobytes()], "starts": [graph.starts.astype(np.int32).tobytes()]})
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [key[1].as_py()], "ids": [ids[by].tobytes()], "of": [back[by].astype(np.int32).tobytes()], "nodes": [v[first].tobytes()], "out": [graph.out.tobytes()], "starts": [graph.starts.astype(np.int32).tobytes()], "beam": pa.array([graph.beam(k)], pa.int32())})
 
-    index = usable.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards"))).groupBy("dim", "shard").applyInArrow(fit, "dim int, shard long, ids binary, of binary, nodes binary, out binary, starts binary")
+    index = usable.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards"))).groupBy("dim", "shard").applyInArrow(fit, "dim int, shard long, ids binary, of binary, nodes binary, out binary, starts binary, beam int")
     index = materialize(index, "graphs")
     queries = usable.where(F.expr(is_query)).groupBy("vec_id").agg(F.min(F.struct("dim", "v", "shards")).alias("q")).select("vec_id", "q.*")
     blocks = max(1, -(-queries.count() // BLOCK))
@@ -258,7 +294,7 @@ def _found(row: dict, k: int) -> Iterator[pa.RecordBatch]:
     names, q = np.frombuffer(row["names"], np.int64), np.frombuffer(row["q"], np.float64).reshape(-1, dim)
     for lo in range(0, len(names), AT_ONCE):
         part, name = q[lo : lo + AT_ONCE], names[lo : lo + AT_ONCE]
-        hits, _ = graph.search(np.concatenate([part, np.zeros((len(part), 1))], axis=1).astype(np.float32), SEARCH_BEAM)
+        hits = graph.products(part, row["beam"])
         r, c = np.nonzero(hits >= 0)
         node = hits[r, c]
         score = inner(part[r], nodes[node])
