@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import columns
 from lodesift.functions.globs import covers, ignore_column, parse_ignore
-from lodesift.operators import findings, paths, verification
+from lodesift.operators import findings, paths, remediation, verification
 from lodesift.operators.registry import BUILT_IN
 from lodesift.operators.scan import ScanOptions, scan
 from lodesift.plans import samples
@@ -116,6 +116,19 @@ def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.csv_rows(planted_findings(spark, sf_dir)).select("id", "detector_id", "severity", "redacted", "file_path", "line", "verification_status")
 
 
+def remediation_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many findings each advice is for."""
+    advised = remediation.enriched(planted_findings(spark, sf_dir))
+    return advised.groupBy("detector_id", F.col("remediation_title").alias("title"), F.col("remediation_urgency").alias("urgency"), F.size("remediation_steps").alias("steps")).agg(F.count(F.lit(1)).alias("findings"))
+
+
+def shown_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses with a login and characters that mislead a reader, as they are shown."""
+    login = F.regexp_replace("url", "^(https?://)", "$1me:secret@")
+    odd = F.concat(login, F.lit("\x1b[2J\x07"), F.lit(chr(0x202E)), F.col("page_id").cast("string"))
+    return _pages(spark, sf_dir).select("page_id", columns.displayable(columns.scrub_url(odd)).alias("shown"))
+
+
 def verification_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many findings there are of each detector, and how many values a verification would send."""
     keyed = planted_findings(spark, sf_dir, keep_raw=True).select("detector_id", F.sha2("raw", 256).alias("value"))
@@ -270,10 +283,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         scan_planted, severity_summary, severity_floor, findings_order, sarif_rule_index, sarif_results, github_annotations, csv_report, verification_keys,
         finding_kinds, capability_counts, http_status_mapping, prefilter_selectivity, glob_filter, ignore_rules, skip_files, url_entropy, inline_markers,
-        history_chunks, chat_messages, scan_all_detectors, detector_samples, hidden_files, history_since,
+        history_chunks, chat_messages, scan_all_detectors, detector_samples, hidden_files, history_since, remediation_titles, shown_addresses,
     )
 }
 
+#: What is advised for the planted detectors, by hand.
+_TITLES = (
+    "('anthropic-api-key', 'Replace the key of Anthropic', 'now'), ('digitalocean-token', 'Revoke the token at DigitalOcean', 'now'), ('github-token', 'Revoke the token at GitHub', 'now'), "
+    "('gitlab-pat', 'Revoke the token at GitLab', 'now'), ('huggingface-token', 'Revoke the token at Hugging Face', 'now'), ('linear-api-key', 'Replace the key of Linear', 'today'), "
+    "('npm-token', 'Revoke the token at npm', 'today'), ('rubygems-api-key', 'Replace the key of RubyGems', 'today'), ('sonarcloud-token', 'Revoke the token at SonarCloud', 'today'), "
+    "('stripe-api-key-live', 'Replace the key of Stripe', 'now')"
+)
 _DIM = "dim(detector_id, kind) AS (VALUES " + ", ".join(f"('{d}', '{verification.kind(d)}')" for d in BUILT_IN) + ")"
 _LEVEL = "CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'warning' ELSE '{}' END"
 _PAGES = r"WITH p AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/([^?]*)', 1) AS path, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages) "
@@ -299,6 +319,8 @@ ORACLE_SQL: dict[str, str] = {
     "scan_all_detectors": _FOUND + "SELECT doc_id, file_path, detector_id, severity, redacted, line, byte_start, byte_end, round(list_aggregate(string_split(raw, ''), 'entropy'), 6) AS entropy, id FROM found",
     "hidden_files": "WITH t AS (SELECT n_nationkey AS k, ['.env', '.aws/credentials', '_x.yml', '', 'sub/.hidden/a.txt', '_cfg/b c.txt', 'plain.txt', '', '', ''][n_nationkey % 10 + 1] AS place FROM nation) SELECT k || '/' || place AS file_path, (k + 1)::BIGINT AS n_bytes FROM t WHERE place <> ''",
     "history_since": "WITH n AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () AS m FROM orders) SELECT n, md5('h' || n) AS commit FROM n WHERE n > m // 2",
+    "remediation_titles": _FOUND + f"SELECT detector_id, title, urgency, 3 AS steps, count(*) AS findings FROM found JOIN (VALUES {_TITLES}) t(detector_id, title, urgency) USING (detector_id) GROUP BY 1, 2, 3",
+    "shown_addresses": r"SELECT page_id, url || '[2J\u202E' || page_id AS shown FROM pages",
     "capability_counts": "SELECT * FROM (VALUES ('live', 39::BIGINT), ('requires_context', 9), ('format_only', 6), ('none', 11)) t(kind, detectors)",
     "prefilter_selectivity": _prefilter_sql(),
     "glob_filter": _PAGES + r"SELECT page_id, regexp_matches(host, '^[^/]*\.example\.org$') AS by_host, regexp_matches(path, '^en/[0-4][^/]*$') OR regexp_matches(path, '^fr/[^/]$') AS by_path FROM p",

@@ -1,5 +1,4 @@
-"""Reports as columns of text, so that any number of findings is written by all tasks; and the same on the driver
-for a report that is one document."""
+"""Reports as columns of text, so that any number of findings is written by all tasks."""
 
 from __future__ import annotations
 
@@ -42,24 +41,38 @@ def annotations(found: DataFrame) -> DataFrame:
     return found.select(F.concat(F.lit("::"), how, F.lit(" "), place, F.lit("title="), title, F.lit("::"), escape_command(message)).alias("command"))
 
 
+def artifact_uri(found: DataFrame) -> Column:
+    """The path, or for a chat message an address made of its channel and time; null for findings without a place."""
+    bare = lambda c: F.nullif(F.regexp_replace(optional(found, c), "^#", ""), F.lit(""))
+    message = F.concat(F.lit("slack://"), F.coalesce(bare("channel_name"), bare("channel"), F.lit("unknown")), F.lit("/"), F.coalesce(F.nullif(optional(found, "message_ts"), F.lit("")), F.lit("unknown")))
+    return F.coalesce(F.nullif(optional(found, "file_path"), F.lit("")), F.when(optional(found, "source_type") == "slack", message))
+
+
+def sarif_columns(found: DataFrame) -> list[Column]:
+    """(rule_id, level, message, fingerprint, uri, start_line). The fingerprint doesn't tell the line, so that it stays
+    when the value moves within its file."""
+    print_of = F.substring(F.sha2(F.concat(F.col("detector_id"), F.lit("\x00"), F.col("redacted"), F.lit("\x00"), F.coalesce("file_path", F.lit(""))), 256), 1, 32)
+    return [
+        F.col("detector_id").alias("rule_id"), level(F.col("severity"), "note").alias("level"), F.concat(F.col("detector_id"), F.lit(" matches "), F.col("redacted")).alias("message"),
+        print_of.alias("fingerprint"), artifact_uri(found).alias("uri"), F.when(F.col("line") > 0, F.col("line")).alias("start_line"),
+    ]
+
+
 def sarif_results(found: DataFrame) -> DataFrame:
-    """(rule_id, rule_index, level, message, fingerprint, uri, start_line) of SARIF's results. The fingerprint
-    doesn't tell the line, so that it stays when the value moves within its file. Rules are a row for each detector."""
+    """sarif_columns and rule_index of each finding. Rules are a row for each detector."""
     found = found.persist()  # read twice below; it holds no values
-    print_of = F.substring(F.sha2(F.concat(F.col("detector_id"), F.lit("\x00"), F.col("redacted"), F.lit("\x00"), F.coalesce("file_path", F.lit(""))), 256), 1, 32)
-    rules = F.broadcast(rule_index(found).select("detector_id", "rule_index"))
-    return found.join(rules, "detector_id").select(
-        F.col("detector_id").alias("rule_id"), "rule_index", level(F.col("severity"), "note").alias("level"), F.concat(F.col("detector_id"), F.lit(" matches "), F.col("redacted")).alias("message"),
-        print_of.alias("fingerprint"), F.col("file_path").alias("uri"), F.when(F.col("line") > 0, F.col("line")).alias("start_line"),
-    )
+    rules = F.broadcast(rule_index(found).select(F.col("detector_id").alias("rule_id"), "rule_index"))
+    return found.select(*sarif_columns(found)).join(rules, "rule_id")
 
 
-def json_rows(found: DataFrame) -> DataFrame:
-    """(value): a JSON object for each finding. Values and what detectors tell of them stay out."""
+def json_rows(found: DataFrame, show_raw: bool = False) -> DataFrame:
+    """(value): a JSON object for each finding. Values, and what detectors tell of them, only with show_raw."""
     sources = [c for c in ("source_type", "repository", "commit", "author", "email", "date", "branch", "file_path", "line", "image", "layer", "layer_idx", "channel", "channel_name", "message_user", "message_ts", "thread_ts") if c in found.columns]
     source = F.struct(*[F.when(F.col(c) > 0, F.col(c)).alias(c) if c == "line" else F.nullif(F.col(c), F.lit("")).alias(c) if dict(found.dtypes)[c] == "string" else F.col(c) for c in sources])
     verification = F.struct(F.coalesce(optional(found, "status"), F.lit("unverified")).alias("status"))
-    return found.select(F.to_json(F.struct("id", "detector_id", "severity", "redacted", source.alias("source"), verification.alias("verification"), "entropy")).alias("value"))
+    advised = [F.when(F.col("remediation_title").isNotNull(), F.struct(*[F.col(f"remediation_{c}").alias(c) for c in ("title", "steps", "urgency", "checklist")])).alias("remediation")] if "remediation_steps" in found.columns else []
+    raw = [F.col("raw").cast("string").alias("raw"), optional(found, "extra", "map<string,string>").alias("extra_data")] if show_raw and "raw" in found.columns else []
+    return found.select(F.to_json(F.struct("id", "detector_id", "severity", "redacted", source.alias("source"), verification.alias("verification"), "entropy", *advised, *raw)).alias("value"))
 
 
 def write(found: DataFrame, path: str, kind: str = "json") -> None:
