@@ -106,14 +106,13 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
         fit = fit.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int((1 << 30) * rows / n))
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        by: dict[str, list[np.ndarray]] = {}
+        by: dict[str, np.ndarray] = {}
+        texts: dict[str, int] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by.setdefault(lang, []).append(np.stack(np.unique(grams(normal(codes(text)), BUCKETS), return_counts=True)).astype(np.int64))
-        out = []
-        for lang, parts in by.items():
-            sums = np.bincount((both := np.concatenate(parts, axis=1))[0], weights=both[1], minlength=1).astype(np.int64)
-            at = np.flatnonzero(sums)
-            out.append((lang, at, sums[at], len(parts)))
+            at, n = np.unique(grams(normal(codes(text)), BUCKETS), return_counts=True)
+            by.setdefault(lang, np.zeros(BUCKETS, np.int64))[at] += n
+            texts[lang] = texts.get(lang, 0) + 1
+        out = [(lang, at := np.flatnonzero(sums), sums[at], texts[lang]) for lang, sums in by.items()]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([np.append(at, -1) for _, at, _, _ in out])),
