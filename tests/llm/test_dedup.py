@@ -254,6 +254,65 @@ def test_classes_of_passages_against_brute_force(spark):
         assert families[r.class_id] == families[i] and (families[i] is not None or (r.class_size, r.n_passages) == (1, 0))
 
 
+@pytest.mark.parametrize("others", [3, 24])
+def test_versions_less_like_the_first_are_linked(spark, others):
+    """Two versions that differ in the word in the middle, and others of the same passage that are like none, each in
+    its own surroundings: whichever comes first in a value's windows, the two are one class and the others none."""
+    rng = random.Random(41)
+    some = lambda n: words(rng, n, 10**6)
+    rows, pairs = [], []
+    for family in range(240 // (others + 2)):
+        base = some(56)
+        for i in range(others + 2):
+            version = list(base)
+            for k in (28,) if i == 0 else () if i == 1 else (9 + i % 4, 23 + i % 5, 38 + i % 6):
+                version[k] = f"edit{family}_{i}_{k}"
+            rows.append(some(30) + version + some(30))
+        pairs.append((len(rows) - others - 2, len(rows) - others - 1))
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    got = {r.doc_id: r for r in substring.near_duplicate_passages(docs_frame(spark, [(i, " ".join(rows[i])) for i in order])).collect()}
+    linked = [got[i].class_id == got[j].class_id == i and got[i].class_size == 2 for i, j in pairs]
+    assert sum(linked) >= 0.95 * len(pairs)  # agreement of enough functions has a probability
+    assert all(got[i].class_id == i and got[i].class_size == 1 for i in set(order) - {i for pair in pairs for i in pair})
+
+
+def test_places_of_a_value_are_compared_whole():
+    """The second step against all pairs, among places of which most share a line and no more."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 1 << 32, 20).astype(np.uint32)
+    around = rng.integers(0, 1 << 32, (300, 129)).astype(np.uint32)
+    around[:, 55:75] = line
+    for k in range(60, 100):  # versions that differ in few places from one a few rows before
+        around[k] = around[k - rng.integers(1, 30)]
+        for at in rng.choice(129, 3, replace=False):
+            around[k, at : at + 5] = rng.integers(0, 1 << 32, len(around[k, at : at + 5]))
+    around[:, 64] = line[9]
+    size = np.full((300, 2), 64)
+    size[150:] = 50, 30
+    key, label = np.arange(300) // 2 * 2 + np.arange(300) % 2, np.arange(300) + 1000
+    expected = list(range(300))
+
+    def root(up, i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    cut = lambda i: around[i, 64 - size[i, 0] : 65 + size[i, 1]]
+    for i in range(300):
+        for j in range(i):
+            if np.isin(cut(i), cut(j)).sum() >= 30 and substring._like(cut(i), cut(j), 46, 0.8):
+                expected[max(root(expected, i), root(expected, j))] = min(root(expected, i), root(expected, j))
+    found, n = list(range(300)), 0
+    for i, j, p, q, x, y in substring.unlinked(key, label, around, size, 46, 0.8):
+        a, b = set(around[i, p:q].tolist()), set(around[j, x:y].tolist())
+        assert len(a & b) >= 0.8 * len(a | b) and min(q - p, y - x) >= 46
+        found[max(root(found, i), root(found, j))] = min(root(found, i), root(found, j))
+        n += 1
+    assert [root(found, i) for i in range(300)] == [root(expected, i) for i in range(300)]
+    assert 10 < n == 300 - len({root(found, i) for i in range(300)})
+
+
 def plain_hashes(n, seed):
     return np.random.default_rng(seed).integers(0, 1 << 62, n).astype(np.uint64)
 
