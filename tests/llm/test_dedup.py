@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -313,6 +314,47 @@ def test_places_of_a_value_are_compared_whole():
     assert 10 < n == 300 - len({root(found, i) for i in range(300)})
 
 
+def test_places_that_share_a_line_are_compared_many_at_once():
+    """The second step against all pairs where places share a line just too short, or repeat a stretch with too little in
+    common: what rules pairs out is computed for many of them at once, not place by place."""
+    rng = np.random.default_rng(8)
+    n = 200
+    around = rng.integers(0, 1 << 32, (n, 129)).astype(np.uint32)
+    around[:, 45:84] = rng.integers(0, 1 << 32, 39).astype(np.uint32)
+    around[::2, :10] = around[0, :10]
+    around[::2] = np.tile(around[::2, :12], 11)[:, :129]
+    for k in range(100, 120):  # versions of a place before
+        around[k] = around[k - 40]
+        around[k, 126:] = rng.integers(0, 1 << 32, 3)
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if root(i) != root(j) and substring._like(around[i], around[j], 46, 0.8):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    expected, up, calls = [root(i) for i in range(n)], list(range(n)), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = list(substring.unlinked(np.arange(n), np.arange(n) + 1000, around, np.full((n, 2), 64), 46, 0.8))
+    finally:
+        sys.setprofile(None)
+    for i, j, *_ in found:
+        up[max(root(i), root(j))] = min(root(i), root(j))
+    assert [root(i) for i in range(n)] == expected
+    assert len(found) == n - len(set(expected)) >= 20
+    assert calls < 40 * n
+
+
 def plain_hashes(n, seed):
     return np.random.default_rng(seed).integers(0, 1 << 62, n).astype(np.uint64)
 
