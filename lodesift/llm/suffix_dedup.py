@@ -7,9 +7,11 @@ hash. A text falls into runs of successive strings with one anchor, a run being
 1. Texts are dealt to groups by document. Each group tells which anchors it has; those that two groups have,
    or one has twice, are candidates. All else can't repeat and goes no further.
 2. Runs at candidates, each distinct one of a group once, go to buckets by anchor. Runs at anchors that very
-   many groups have are cut finer and dealt out by the bytes that all strings in the cut share, so that
-   no bucket grows with the frequency of a line or passage.
-3. A bucket takes its runs in the order of documents, batch after batch. A batch gets a suffix array (the starts
+   many runs have are cut finer and dealt out by the bytes that all strings in the cut share, so that
+   no bucket grows with the frequency of a line or passage. What counts is the runs, as they fill a bucket, and
+   not the groups that have them, whose number grows with the input.
+3. A bucket takes its runs in the order of documents, batch after batch. Strings whose hash no other string of the
+   bucket has can't repeat and go no further. Of the others a batch gets a suffix array (the starts
    of its strings of LENGTH bytes, sorted by these), which is merge-scanned against the levels that exist; what
    matches is repeated. The rest becomes a level, and levels of a like size merge, so there is a logarithmic number.
 4. Repeated spans go back to the groups, where bytes are removed.
@@ -29,12 +31,13 @@ from lodesift.llm.common import flat, partitions
 
 LENGTH = 100
 K = 48
-#: An anchor that so many groups have is dealt out by finer keys.
-HOT_GROUPS = 64
+#: An anchor that so many groups have, each counted as often as it has runs there (some 2 MB of text in all), is dealt
+#: out by finer keys. A group tells its number of runs from TOLD_RUNS on; fewer count as one.
+HOT_GROUPS, TOLD_RUNS = 1 << 14, 4
 #: Strings in a cut of a run at such an anchor.
 CUT = 8
-#: Bytes that are hashed at once.
-CHUNK = 1 << 21
+#: Bytes that are hashed at once; their hashes fit in a core's cache.
+CHUNK = 1 << 18
 #: Runs that are compared at once within a group.
 RUNS = 1 << 17
 #: Strings in the first batch of a bucket, and in any.
@@ -155,11 +158,18 @@ class SuffixLevels:
             if not len(slots):
                 break
             word = self._word(starts[order[slots]], k)
-            by = np.argsort(word, kind="stable")
+            # a group of which all have this word is in order; only others are sorted
+            part = np.arange(len(slots))
+            if k:
+                apart = (group[1:] == group[:-1]) & (word[1:] != word[:-1])
+                mixed = np.zeros(int(group[-1]) + 1, bool)
+                mixed[group[1:][apart]] = True
+                part = np.flatnonzero(mixed[group])
+            by = part[np.argsort(word[part], kind="stable")]
             if k:
                 by = by[np.argsort(group[by], kind="stable")]
-            order[slots] = order[slots][by]
-            word, group = word[by], group[by]
+            order[slots[part]] = order[slots[by]]
+            word[part] = word[by]  # groups stay where they are
             new[slots[1:]] |= (group[1:] != group[:-1]) | (word[1:] != word[:-1])
             # those that still agree with a neighbour go on, a run of them a group
             tied = np.zeros(len(slots), bool)
@@ -274,15 +284,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         group = Group(table, length, k)
-        found = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(h) for *_, h in group.runs()]]))
-        rows = [(b, found[at]) for b, at in by_bucket(bucket_of(found, buckets))]
-        return pa.table({"b": pa.array([b for b, _ in rows], pa.int64()), "g": pa.array([key[0].as_py()] * len(rows), pa.int64()), "hashes": pa.array([x.tobytes() for _, x in rows], pa.binary())})
+        found, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *[h for *_, h in group.runs()]]), return_counts=True)
+        rows = [(b, found[at], count[at]) for b, at in by_bucket(bucket_of(found, buckets))]
+        many = [np.stack([np.flatnonzero(n >= TOLD_RUNS), n[n >= TOLD_RUNS]]).astype(np.int32) for _, _, n in rows]
+        return pa.table({"b": pa.array([b for b, _, _ in rows], pa.int64()), "g": pa.array([key[0].as_py()] * len(rows), pa.int64()), "hashes": pa.array([x.tobytes() for _, x, _ in rows], pa.binary()), "many": pa.array([x.tobytes() for x in many], pa.binary())})
 
     def candidates(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         each = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
-        found, count = np.unique(np.concatenate(each), return_counts=True)
-        twice, hot = found[count > 1], found[count >= HOT_GROUPS]
-        rows = [(g, x[np.isin(x, twice)], x[np.isin(x, hot)]) for g, x in zip(table["g"].to_pylist(), each, strict=True)]
+        many = [np.frombuffer(x, np.int32).reshape(2, -1) for x in table["many"].to_pylist()]
+        rows = [(g, *x) for g, x in zip(table["g"].to_pylist(), shared_anchors(each, many, HOT_GROUPS), strict=True)]
         rows = [x for x in rows if len(x[1])]
         return pa.table({"g": pa.array([g for g, _, _ in rows], pa.int64()), "twice": pa.array([x.tobytes() for _, x, _ in rows], pa.binary()), "hot": pa.array([x.tobytes() for _, _, x in rows], pa.binary())})
 
@@ -295,7 +305,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hi = np.minimum(starts + counts - 1, places - CUT * j)
             kept = np.flatnonzero(lo <= hi)
             if len(kept):
-                core = np.array([hash_bytes(data[p : p - CUT + 1 + length]) for p in (places[kept] - CUT * j).tolist()], np.uint64)
+                core = hash_strings(data, places[kept] - CUT * j, length - CUT + 1)
                 out.append((rows[kept], lo[kept], hi[kept] - lo[kept] + 1, core))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -375,14 +385,62 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = list(zip(*out, strict=True)) if out else [[]] * 6
         return pa.table({x: pa.array(v, t) for x, v, t in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), columns, kinds, strict=True)})
 
-    told = dealt.groupBy("g").applyInArrow(anchors, "b long, g long, hashes binary").groupBy("b").applyInArrow(candidates, "g long, twice binary, hot binary")
+    told = dealt.groupBy("g").applyInArrow(anchors, "b long, g long, hashes binary, many binary").groupBy("b").applyInArrow(candidates, "g long, twice binary, hot binary")
     sent = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(candidate_runs, "b long, g long, rows binary, ids binary, starts binary, counts binary, text binary, done binary")
     spans = sent.groupBy("b").applyInArrow(index, "g long, spans binary")
     return dealt.groupBy("g").cogroup(spans.groupBy("g")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def hash_bytes(data: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(data.tobytes(), digest_size=8).digest(), "little")
+def shared_anchors(each: list[np.ndarray], many: list[np.ndarray], least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each group's distinct anchors: those that another group has, and the hot ones, at which all together have
+    `least` runs. many: which of a group's anchors have several runs, and how many."""
+    runs_of = [np.ones(len(x), np.int64) for x in each]
+    for own, (at, n) in zip(runs_of, many, strict=True):
+        own[at] = n
+    every = np.concatenate(each)
+    order = np.argsort(every)
+    first = np.flatnonzero(np.append(True, every[order[1:]] != every[order[:-1]]))
+    size = np.diff(np.append(first, len(every)))
+    twice, hot = np.empty(len(every), bool), np.empty(len(every), bool)
+    twice[order] = np.repeat(size > 1, size)
+    hot[order] = np.repeat(np.add.reduceat(np.concatenate(runs_of)[order], first) >= least, size)
+    ends = np.cumsum([len(x) for x in each]).tolist()
+    return [(x[twice[e - len(x) : e]], x[hot[e - len(x) : e]]) for x, e in zip(each, ends, strict=True)]
+
+
+def hash_strings(data: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each string of one width, the same wherever it stands."""
+    out = np.zeros(len(starts), np.uint64)
+    padded = -(-width // 8) * 8
+    for lo in range(0, len(starts), RUNS):
+        held = strings(data, starts[lo : lo + RUNS], width).astype(f"S{padded}")
+        words = held.view(np.uint64).reshape(-1, padded // 8)
+        for i in range(words.shape[1]):
+            h = (out[lo : lo + RUNS] ^ words[:, i]) * np.uint64(0xD6E8FEB86659FD93)
+            out[lo : lo + RUNS] = h ^ (h >> np.uint64(32))
+    return out
+
+
+def may_repeat(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which strings have a hash that another of them has; false only for strings that none equals. A table of a few
+    slots a string holds who came last to a slot; who finds another there isn't alone."""
+    low = np.uint64(64 - max(16, (4 * len(starts) - 1).bit_length()))
+    slots = np.empty(len(starts), np.int64)
+    begin = int(starts.min()) if len(starts) else 0
+    end = int(starts.max()) + 1 if len(starts) else 0
+    by = np.argsort(starts, kind="stable")
+    cuts = np.searchsorted(starts[by], np.arange(begin, end + CHUNK, CHUNK))
+    for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if a < b:
+            lo = begin + i * CHUNK
+            h = gram_hashes(text[lo : lo + CHUNK + length - 1], length)
+            slots[by[a:b]] = (h[starts[by[a:b]] - lo] >> low).astype(np.int64)
+    mine = np.arange(len(starts), dtype=np.int32 if len(starts) < 1 << 31 else np.int64)
+    last = np.zeros(1 << int(np.uint64(64) - low), mine.dtype)
+    last[slots] = mine
+    shared = np.zeros(len(last), bool)
+    shared[slots[last[slots] != mine]] = True
+    return shared[slots]
 
 
 def repeated_spans(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -393,17 +451,19 @@ def repeated_spans(text: np.ndarray, begins: np.ndarray, counts: np.ndarray, len
     found = [(again, np.zeros(len(again), np.int64), counts[again] + length - 1)]
     fresh = np.flatnonzero(first == np.arange(len(first)))
     levels = SuffixLevels(text, length)
+    n = counts[fresh]
+    of = np.repeat(fresh.astype(levels.kind), n)
+    starts = (np.arange(n.sum()) + np.repeat(begins[fresh] - (np.cumsum(n) - n), n)).astype(levels.kind)
+    kept = np.flatnonzero(may_repeat(text, starts, length))
+    of, starts = of[kept], starts[kept]
     # a batch is as large as all before it together, so that scans of the levels cost in proportion
-    total = np.cumsum(counts[fresh])
     cuts, edge = [], BATCH
-    while len(total) and edge < total[-1]:
-        cuts.append(int(np.searchsorted(total, edge)))
+    while edge < len(starts):
+        cuts.append(edge)
         edge += min(edge, LARGEST_BATCH)
-    for part in np.split(fresh, np.unique(cuts).astype(int)):
-        n = counts[part]
-        of = np.repeat(part, n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = levels.add((begins[of] + at).astype(levels.kind))
-        of, at = of[hit], at[hit]
-        found.append(spans_of(of, at, at + length))
+    for lo, hi in zip([0, *cuts], [*cuts, len(starts)], strict=True):
+        hit = levels.add(starts[lo:hi])
+        row = of[lo:hi][hit].astype(np.int64)
+        at = starts[lo:hi][hit] - begins[row]
+        found.append(spans_of(row, at, at + length))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))

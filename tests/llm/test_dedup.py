@@ -110,6 +110,36 @@ def test_suffix_levels_grow_geometrically(length):
         assert held == sorted(held)
 
 
+def test_equal_strings_are_sorted_once(monkeypatch):
+    text = np.random.default_rng(3).integers(97, 123, 5000).astype(np.uint8)
+    text, asked, argsort = np.tile(text, 8), [], np.argsort
+    levels = suffix_dedup.SuffixLevels(text, 100)
+    starts = (np.arange(8)[:, None] * 5000 + np.arange(4900)).ravel()
+    monkeypatch.setattr(suffix_dedup.np, "argsort", lambda x, **kw: asked.append(len(x)) or argsort(x, **kw))
+    assert levels.add(starts).tolist() == (starts >= 5000).tolist()
+    assert sum(asked) < 2 * len(starts)  # by each of 13 words before
+
+
+def test_anchors_are_hot_by_their_runs_not_by_groups():
+    few, hot, own = (np.array([x], np.uint64) for x in (5, 9, 7))
+    each = [np.concatenate([few, hot])] * 200 + [own]
+    many = [np.array([[1], [100]], np.int32)] * 200 + [np.zeros((2, 0), np.int32)]
+    got = suffix_dedup.shared_anchors(each, many, suffix_dedup.HOT_GROUPS)
+    assert all(twice.tolist() == [5, 9] and finer.tolist() == [9] for twice, finer in got[:-1])
+    assert [x.tolist() for x in got[-1]] == [[], []]
+
+
+def test_strings_that_may_repeat(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 123, 6000).astype(np.uint8)
+    text[4000:4300] = text[100:400]
+    starts = rng.permutation(np.arange(0, 5900))
+    may = suffix_dedup.may_repeat(text, starts, 100)
+    assert may[((starts >= 100) & (starts <= 300)) | ((starts >= 4000) & (starts <= 4200))].all() and may.mean() < 0.5
+    assert suffix_dedup.may_repeat(text, starts[:0], 100).tolist() == []
+
+
 def test_empty_tables(spark):
     empty = docs_frame(spark, [])
     assert suffix_dedup.remove_repeats(empty).count() == 0
