@@ -194,11 +194,12 @@ def history_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders as a history in which every fifth clock runs behind: what a walk from the last one meets before the
     order in the middle."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"))
-    placed = orders.withColumn("n", F.row_number().over(Window.orderBy("key")))
+    # numbered by ranges of keys, so that no task holds them all
+    placed = history.blocks(orders, "key").withColumn("n", F.row_number().over(Window.partitionBy("block", "before").orderBy("key")) + F.col("before"))
     hashed = lambda n: F.md5(F.concat(F.lit("h"), n.cast("string")))
     skewed = F.col("n") * 60 - F.when(F.col("n") % 5 == 0, 200).otherwise(0)
     commits = placed.select(F.col("n"), hashed(F.col("n")).alias("commit"), F.when(F.col("n") > 1, hashed(F.col("n") - 1)).alias("parent"), F.timestamp_seconds(F.lit(1_600_000_000) + skewed).alias("ts"))
-    middle = hashed(F.lit(placed.count() // 2))
+    middle = hashed(F.lit(orders.count() // 2))
     return history.walked(commits, spark.range(1).select(middle).first()[0]).select(F.col("n").cast("long").alias("n"), "commit")
 
 

@@ -1,7 +1,11 @@
+import hashlib
 import io
+import random
 import tarfile
 from datetime import datetime
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +52,40 @@ def test_history_follows_ancestry(spark):
         history.walked(commits, "ab" * 20)
 
 
+def test_history_by_chains_is_the_walk(spark, monkeypatch):
+    """Random graphs with skewed clocks and merges, in blocks of a few commits, for each boundary."""
+    monkeypatch.setattr(history, "BLOCK", 7)
+    rng = random.Random(11)
+    rows = []
+    for repo in range(12):
+        name = [hashlib.sha1(f"{repo} {i}".encode()).hexdigest() for i in range(40)]
+        for i in range(40):
+            parents = [name[max(0, i - rng.choice([1, 1, 1, 1, 2, 5]))]] if i and rng.random() < 0.97 else []
+            parents += [name[rng.randrange(i)]] if i and rng.random() < (0, 0.1, 0.4)[repo % 3] else []
+            rows.append((str(repo), name[i], parents, datetime.fromtimestamp(1_600_000_000 + i * 60 + rng.randrange(-200, 200) * (repo % 4))))
+    commits = spark.createDataFrame(rows, "repository string, commit string, parents array<string>, ts timestamp")
+    graph = pd.DataFrame([(r, c, p, t.timestamp()) for r, c, p, t in rows], columns=["repository", "commit", "parents", "seconds"])
+    for repo, _, _, _ in rows[::80]:
+        own = graph[graph.repository == repo]
+        since = own["commit"].iloc[17]
+        walked = history._walk(own, since)
+        before, told = history.met(commits, since)
+        assert bool(told.agg(F.max("reached")).first()[0]) == bool(walked.reached.any())
+        if walked.reached.any():
+            assert sorted(r.commit for r in before.collect()) == sorted(c for c in walked.commit if c)
+
+
+def test_history_holds_chains_alone():
+    """A line of commits with skewed clocks is one chain, so one task needs a row for it and not for each commit."""
+    n = 5000
+    seconds = [i * 60 - 200 * (i % 5 == 0) for i in range(n)]
+    block = pa.table({"repository": [""] * n, "block": pa.array([0] * n, pa.int32()), "commit": [f"{i:05d}" for i in range(n)], "children": [1] * (n - 1) + [0], "seconds": seconds, "parents": [[f"{i - 1:05d}"] if i else [] for i in range(n)], "parent": [f"{i - 1:05d}" if i else None for i in range(n)]})
+    chains = history._contract(block, "02500")
+    assert chains.num_rows == 2
+    told = history._walk_chains(chains)
+    assert sorted(history._expand(block, told.slice(1), "02500")["commit"].to_pylist()) == [f"{i:05d}" for i in range(2501, n)]
+
+
 def test_changes_are_against_the_first_parent(spark):
     commits, _, _ = _history(spark)
     trees = spark.createDataFrame([(A, "a", "1"), (B, "a", "1"), (B, "b", "2"), (C, "a", "3")], "commit string, path string, blob string")
